@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.text import Tokenizer, word_tokens
-from ..scale import broadcast_if_small, frequent_keys_join, top_k
+from ..scale import frequent_keys_join, is_small, top_k
 
 
 def tokenise(chunks: DataFrame, text: str = "index_text", chunk_id: str = "chunk_id",
@@ -136,11 +136,14 @@ class SparseIndex:
     k1: float = config.BM25_K1
     b: float = config.BM25_B
 
-    def matches(self, terms: DataFrame) -> DataFrame:
+    def matches(self, terms: DataFrame, small: bool) -> DataFrame:
         """``by..., chunk_id, token, weight`` of the postings whose token is in ``terms``.
 
         All rows of a chunk end up in one partition, so scoring needs no further shuffle.
+        ``small`` tells that ``terms`` is of checked size.
         """
+        hint = F.broadcast if small else (lambda df: df)
+        terms = hint(terms)
         by = list(self.by)
         if self.postings is not None:
             hit = self.postings.join(terms, "token", "left_semi")
@@ -155,8 +158,8 @@ class SparseIndex:
         stats = corpus_stats(self.tokenised, by)
         model = _with_stats(seen, stats, by).select(
             *by, "token", "avgdl", idf(F.col("n_docs"), F.col("df")).alias("idf"))
-        # At most one row per index and query token: no larger than the checked query side.
-        return tf.join(F.broadcast(model), [*by, "token"]).select(
+        # At most one row per index and query token, so as small as the query side.
+        return tf.join(hint(model), [*by, "token"]).select(
             *by, "chunk_id", "token",
             doc_weight(F.col("idf"), F.col("tf"), F.col("dl"), F.col("avgdl"), self.k1, self.b)
             .alias("weight"))
@@ -171,9 +174,10 @@ def fit(chunks: DataFrame, text: str = "index_text", chunk_id: str = "chunk_id",
 def sparse_scores(index: SparseIndex, queries: DataFrame, query_id: str = "query_id",
                   text: str = "question", tokenizer: Tokenizer = word_tokens) -> DataFrame:
     """``by..., query_id, chunk_id, score`` of every chunk sharing a token with a query."""
-    q = broadcast_if_small(query_terms(queries, query_id, text, tokenizer=tokenizer))
-    terms = broadcast_if_small(q.select("token").distinct())
-    hits = index.matches(terms).join(q, "token")
+    q = query_terms(queries, query_id, text, tokenizer=tokenizer)
+    small = is_small(q)
+    hits = index.matches(q.select("token").distinct(), small)
+    hits = hits.join(F.broadcast(q) if small else q, "token")
     return hits.groupBy(*index.by, "chunk_id", "query_id").agg(
         F.round(F.sum(F.col("qw") * F.col("weight")), config.SCORE_DECIMALS).alias("score"))
 
