@@ -17,8 +17,8 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-IMAGE = r"!\[.*?\]\(.*?\)"
-LINK = r"\[.*?\]\(.*?\)"
+IMAGE = r"(?d)!\[.*?\]\(.*?\)"
+LINK = r"(?d)\[.*?\]\(.*?\)"
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 NOT_CJK = r"[^\x{4E00}-\x{9FFF}]"
 NOT_ALNUM = r"[^\p{L}\p{N}]"

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import config
 from ..scale import is_small, top_k
@@ -58,7 +59,7 @@ class _Best:
             self.scores[i], self.ids[i] = merged[order], names[order]
 
 
-def _scan(batches, query_ids: list, matrix: np.ndarray, k: int, names: list[str]) -> Iterator:
+def _scan(batches, query_ids: list, matrix: np.ndarray, k: int, schema: pa.Schema) -> Iterator:
     best = _Best(len(query_ids), k)
     for batch in batches:
         if batch.num_rows == 0:
@@ -70,7 +71,8 @@ def _scan(batches, query_ids: list, matrix: np.ndarray, k: int, names: list[str]
     rows = [(q, i, float(s)) for q, ids, scores in zip(query_ids, best.ids, best.scores)
             for i, s in zip(ids, scores)]
     if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows)], names=names)
+        columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), schema.types)]
+        yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = config.TOP_K,
@@ -96,14 +98,14 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = config.TOP_K,
 
 
 def _scan_with_shared_queries(v: DataFrame, q: DataFrame, k: int, schema) -> DataFrame:
-    table = q.toArrow()
+    table, arrow = q.toArrow(), to_arrow_schema(schema)
     shared = v.sparkSession.sparkContext.broadcast(
         (table.column(0).to_pylist(), _unit(_matrix(table.column(1)))))
 
     def scan(batches):
         ids, matrix = shared.value
         if ids:
-            yield from _scan(batches, ids, matrix, k, schema.names)
+            yield from _scan(batches, ids, matrix, k, arrow)
 
     return v.mapInArrow(scan, schema)
 
@@ -120,18 +122,16 @@ def _scan_by_blocks(v: DataFrame, q: DataFrame, k: int, schema, block_rows: int)
                     F.pmod(F.xxhash64("chunk_id"), F.lit(n_v)).cast("int").alias("vb"), "*")
     right = q.select(F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int").alias("qb"),
                      F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))).alias("vb"), "*")
+    arrow = to_arrow_schema(schema)
 
     def pair(vec: pa.Table, qry: pa.Table) -> pa.Table:
-        empty = pa.table({n: pa.array([], t) for n, t in zip(schema.names, types)})
         if not vec.num_rows or not qry.num_rows:
-            return empty
-        rows = list(_scan(vec.select(["chunk_id", "embedding"]).to_batches(),
-                          qry.column("query_id").to_pylist(),
-                          _unit(_matrix(qry.column("embedding"))), k, schema.names))
-        return pa.Table.from_batches(rows).cast(empty.schema) if rows else empty
-
-    from pyspark.sql.pandas.types import to_arrow_type
-    types = [to_arrow_type(f.dataType) for f in schema]
+            return arrow.empty_table()
+        rows = _scan(vec.select(["chunk_id", "embedding"]).to_batches(),
+                     qry.column("query_id").to_pylist(),
+                     _unit(_matrix(qry.column("embedding"))), k, arrow)
+        return pa.Table.from_batches(list(rows), arrow)
+
     return left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(pair, schema)
 
 

@@ -19,10 +19,7 @@ SHEET_SUFFIXES = {"_召回位置": "hit_rank", "_合并召回": "merged", "_拼
 
 def ranking(rates: DataFrame, score: str, name: str, by: Sequence[str] = ()) -> DataFrame:
     """Number strategies by falling score; equal scores in name order."""
-    one = list(by) or [F.lit(1)]
-    src = rates if by else rates.withColumn("_all", F.lit(1))
-    out = top_k(src, list(by) or ["_all"], [F.desc(score), F.asc(name)], 2 ** 31 - 1, "place")
-    return out if by else out.drop("_all")
+    return top_k(rates, by, [F.desc(score), F.asc(name)], None, "place")
 
 
 def topk_matrix(rates: DataFrame, ks: Sequence[int],

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.text import Tokenizer, word_tokens
-from ..scale import broadcast_if_small
+from ..scale import broadcast_if_small, top_k
 from . import fusion
 from .bm25 import SparseIndex, sparse_topk
 from .dense import dense_topk
@@ -112,11 +112,8 @@ def multi_query(index: Index, queries: DataFrame, rewrites: DataFrame, retriever
 def relevance_order(hits: DataFrame, score: Column, top_n: int | None = None,
                     query: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """Rerank hits by a new score; equal scores keep their former order."""
-    from ..scale import top_k
-
     scored = hits.withColumn("rerank_score", score).withColumnRenamed("rank", "old_rank")
-    return top_k(scored, query, [F.desc("rerank_score"), F.asc("old_rank")],
-                 top_n if top_n is not None else 2 ** 31 - 1)
+    return top_k(scored, query, [F.desc("rerank_score"), F.asc("old_rank")], top_n)
 
 
 def overlap_score(question: Column, text: Column, tokenizer: Tokenizer = word_tokens) -> Column:

@@ -27,15 +27,16 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
     return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df
 
 
-def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int,
+def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int | None,
           rank: str = "rank") -> DataFrame:
-    """Keep the ``k`` first rows of each group and number them from 1.
+    """Keep the ``k`` first rows of each group and number them from 1; ``None`` keeps all.
 
     The row_number filter lets Spark cut every group to ``k`` rows before the shuffle, so
     a hot group never reaches one task whole.
     """
     w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
+    ranked = df.withColumn(rank, F.row_number().over(w))
+    return ranked if k is None else ranked.where(F.col(rank) <= k)
 
 
 def frequent_keys_join(large: DataFrame, lookup: DataFrame, on: Sequence[str], weight: str,
