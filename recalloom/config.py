@@ -51,6 +51,8 @@ DEFAULT_KB = os.getenv("DEFAULT_KB", "demo")
 # A side may be broadcast up to this size; above it the join shuffles.
 BROADCAST_MAX_ROWS = 500_000
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
+# Question text whose tokens may be broadcast.
+QUERY_TEXT_MAX_BYTES = 4 * 1024 * 1024
 
 
 @dataclass

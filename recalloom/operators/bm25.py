@@ -26,6 +26,14 @@ def tokenise(chunks: DataFrame, text: str = "index_text", chunk_id: str = "chunk
         "dl", F.size("tokens"))
 
 
+def _occurrences(tokenised: DataFrame, keep: Sequence[str],
+                 tokens: Column | str = "tokens") -> DataFrame:
+    """One row per token. The outer explode keeps Spark from adding a filter on the array,
+    which would tokenise every text a second time."""
+    return tokenised.select(*keep, F.explode_outer(tokens).alias("token")).where(
+        F.col("token").isNotNull())
+
+
 def corpus_stats(tokenised: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Number of texts and mean length per index; texts without tokens count."""
     return tokenised.groupBy(*by).agg(
@@ -35,7 +43,7 @@ def corpus_stats(tokenised: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def term_frequencies(tokenised: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Postings ``by..., chunk_id, dl, token, tf``."""
-    return tokenised.select(*by, "chunk_id", "dl", F.explode("tokens").alias("token")).groupBy(
+    return _occurrences(tokenised, [*by, "chunk_id", "dl"]).groupBy(
         *by, "chunk_id", "dl", "token").agg(F.count(F.lit(1)).cast("int").alias("tf"))
 
 
@@ -56,7 +64,7 @@ def query_weight(tf: Column) -> Column:
 def document_frequencies(tokenised: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Texts per token. Distinct tokens are taken inside each row and counted before the
     shuffle, so a token that occurs everywhere sends one row per partition."""
-    return tokenised.select(*by, F.explode(F.array_distinct("tokens")).alias("token")).groupBy(
+    return _occurrences(tokenised, by, F.array_distinct("tokens")).groupBy(
         *by, "token").agg(F.count(F.lit(1)).alias("df"))
 
 
@@ -142,28 +150,42 @@ class SparseIndex:
         All rows of a chunk end up in one partition, so scoring needs no further shuffle.
         ``small`` tells that ``terms`` is of checked size.
         """
+        by = list(self.by)
         hint = F.broadcast if small else (lambda df: df)
         terms = hint(terms)
-        by = list(self.by)
         if self.postings is not None:
             hit = self.postings.join(terms, "token", "left_semi")
             return hit.select(*by, "chunk_id", "token", "weight").repartition("chunk_id")
         # Cut the occurrences to query tokens before the shuffle.
-        hit = (self.tokenised.select(*by, "chunk_id", "dl", F.explode("tokens").alias("token"))
-               .join(terms, "token", "left_semi").repartition("chunk_id"))
+        hit = _occurrences(self.tokenised, [*by, "chunk_id", "dl"]).join(
+            terms, "token", "left_semi").repartition("chunk_id")
         tf = hit.groupBy(*by, "chunk_id", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
-        seen = self.tokenised.select(
-            *by, F.explode(F.array_distinct("tokens")).alias("token")).join(
-            terms, "token", "left_semi").groupBy(*by, "token").agg(F.count(F.lit(1)).alias("df"))
-        stats = corpus_stats(self.tokenised, by)
-        model = _with_stats(seen, stats, by).select(
-            *by, "token", "avgdl", idf(F.col("n_docs"), F.col("df")).alias("idf"))
         # At most one row per index and query token, so as small as the query side.
-        return tf.join(hint(model), [*by, "token"]).select(
+        return tf.join(hint(self._term_model(terms, hint)), [*by, "token"]).select(
             *by, "chunk_id", "token",
             doc_weight(F.col("idf"), F.col("tf"), F.col("dl"), F.col("avgdl"), self.k1, self.b)
             .alias("weight"))
 
+    def _term_model(self, terms: DataFrame, hint) -> DataFrame:
+        """``by..., token, idf, avgdl`` of the wanted tokens in one pass over the corpus.
+
+        The empty string, never a token itself, stands once in every text and so carries
+        the number of texts and their total length.
+        """
+        by = list(self.by)
+        mark = terms.sparkSession.range(1).select(F.lit("").alias("token"))
+        wanted = hint(terms.unionByName(mark))
+        every = F.array_append(F.array_distinct("tokens"), F.lit(""))
+        seen = _occurrences(self.tokenised, [*by, "dl"], every).join(
+            wanted, "token", "left_semi").groupBy(*by, "token").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("_length"))
+        w = Window.partitionBy(*by)
+        total = F.when(F.col("token") == "", F.col("df"))
+        length = F.when(F.col("token") == "", F.col("_length"))
+        return seen.withColumn("_n", F.max(total).over(w)).withColumn(
+            "_sum", F.max(length).over(w)).where(F.col("token") != "").select(
+            *by, "token", idf(F.col("_n"), F.col("df")).alias("idf"),
+            (F.col("_sum") / F.greatest(F.col("_n"), F.lit(1))).alias("avgdl"))
+
 
 def fit(chunks: DataFrame, text: str = "index_text", chunk_id: str = "chunk_id",
         by: Sequence[str] = (), tokenizer: Tokenizer = word_tokens,
@@ -174,8 +196,9 @@ def fit(chunks: DataFrame, text: str = "index_text", chunk_id: str = "chunk_id",
 def sparse_scores(index: SparseIndex, queries: DataFrame, query_id: str = "query_id",
                   text: str = "question", tokenizer: Tokenizer = word_tokens) -> DataFrame:
     """``by..., query_id, chunk_id, score`` of every chunk sharing a token with a query."""
+    # A text has fewer tokens than bytes, so its size bounds the terms made from it.
+    small = is_small(queries.select(query_id, text), max_bytes=config.QUERY_TEXT_MAX_BYTES)
     q = query_terms(queries, query_id, text, tokenizer=tokenizer)
-    small = is_small(q)
     hits = index.matches(q.select("token").distinct(), small)
     hits = hits.join(F.broadcast(q) if small else q, "token")
     return hits.groupBy(*index.by, "chunk_id", "query_id").agg(

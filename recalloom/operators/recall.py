@@ -10,22 +10,27 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions.coverage import coverage, verbatim_coverage
 from ..functions.text import file_match, keep_charset, normalise_file_ref
-from ..scale import broadcast_if_small
+from ..scale import is_small
 
 RUN = ("pipeline", "top_k")
 
 
-def _pair_coverage(hits: DataFrame, gold: DataFrame, charset: str, measure: str,
+def _with_coverage(hits: DataFrame, run: list[str], charset: str, measure: str,
                    threshold: float, autojunk: bool) -> DataFrame:
-    """Coverage of each (question, text) pair, measured once however many runs return it."""
-    pairs = hits.select("query_id", "chunk_id", "content_text").dropDuplicates(
-        ["query_id", "chunk_id"]).join(gold.select("query_id", "gold_answer"), "query_id")
+    """Add ``coverage``. The costly measure is taken once per question and text, however
+    many runs return that text; a group holds one entry per run."""
     if measure == "verbatim":
-        cov = verbatim_coverage(F.col("gold_answer"), F.col("content_text"))
-    else:
-        cov = coverage(keep_charset(F.col("gold_answer"), charset),
-                       keep_charset(F.col("content_text"), charset), autojunk, threshold)
-    return pairs.select("query_id", "chunk_id", cov.alias("coverage"))
+        return hits.withColumn("coverage", verbatim_coverage(
+            F.col("gold_answer"), F.col("content_text")))
+    pair = ["query_id", "chunk_id"]
+    fixed = ["content_text", "source", "gold_answer", "_ref"]
+    once = hits.groupBy(*pair).agg(*[F.first(c).alias(c) for c in fixed],
+                                   F.collect_list(F.struct(*run, "rank")).alias("_runs"))
+    measured = once.withColumn("coverage", coverage(
+        keep_charset(F.col("gold_answer"), charset), keep_charset(F.col("content_text"), charset),
+        autojunk, threshold))
+    return measured.select(*pair, *fixed, "coverage", F.explode("_runs").alias("_r")).select(
+        *pair, *fixed, "coverage", "_r.*")
 
 
 def first_hit(flag: Column, rank: Column) -> Column:
@@ -46,12 +51,13 @@ def question_recall(hits: DataFrame, test_set: DataFrame, run: Sequence[str] = R
     counts as a miss.
     """
     run = list(run)
-    gold = broadcast_if_small(test_set.select("query_id", "gold_answer", "ref_file"))
-    cov = _pair_coverage(hits, gold, charset, measure, threshold, autojunk)
-    refs = test_set.select("query_id", normalise_file_ref(F.coalesce("ref_file", F.lit("")))
-                           .alias("_ref"))
-    marked = (hits.join(cov, ["query_id", "chunk_id"])
-              .join(broadcast_if_small(refs), "query_id")
+    gold = test_set.select("query_id", "gold_answer", normalise_file_ref(
+        F.coalesce("ref_file", F.lit(""))).alias("_ref"))
+    if is_small(test_set.select("query_id", "gold_answer", "ref_file")):
+        gold = F.broadcast(gold)
+    judged = hits.select(*run, "query_id", "rank", "chunk_id", "content_text", "source").join(
+        gold, "query_id")
+    marked = (_with_coverage(judged, run, charset, measure, threshold, autojunk)
               .withColumn("_src", normalise_file_ref(F.coalesce("source", F.lit(""))))
               .withColumn("_ok", F.col("coverage") >= threshold)
               .withColumn("_file", file_match(F.col("_ref"), F.col("_src"), list(aliases))))
@@ -61,14 +67,12 @@ def question_recall(hits: DataFrame, test_set: DataFrame, run: Sequence[str] = R
     per_q = marked.groupBy(*run, "query_id").agg(
         first_hit(F.col("_ok"), F.col("rank")).alias("hit_rank"),
         first_hit(F.col("_file"), F.col("rank")).alias("file_rank"),
-        *([joined.alias("_all")] if concat else []))
+        *([joined.alias("_all"), F.first("gold_answer").alias("_gold")] if concat else []))
     flags = per_q.withColumn("single", (F.col("hit_rank") > 0).cast("int")).withColumn(
         "file", (F.col("file_rank") > 0).cast("int")).withColumn("merged", F.col("single"))
     if concat:
-        needle = keep_charset(F.col("gold_answer"), charset)
-        flags = flags.join(gold.select("query_id", "gold_answer"), "query_id").withColumn(
-            "concat", (coverage(needle, F.col("_all"), False, threshold) >= threshold).cast("int")
-        ).drop("_all", "gold_answer")
+        whole = coverage(keep_charset(F.col("_gold"), charset), F.col("_all"), False, threshold)
+        flags = flags.withColumn("concat", (whole >= threshold).cast("int")).drop("_all", "_gold")
     if runs is None:
         return flags
     # One row per run and question: both come from the experiment's own small lists.

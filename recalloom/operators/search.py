@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
+from ..config import BROADCAST_MAX_ROWS
 from ..functions.text import Tokenizer, word_tokens
-from ..scale import broadcast_if_small, top_k
+from ..scale import is_small, top_k
 from . import fusion
 from .bm25 import SparseIndex, sparse_topk
 from .dense import dense_topk
@@ -63,9 +64,16 @@ def retrieve(index: Index, queries: DataFrame, retriever: str = "hybrid",
     return fused.select("query_id", "chunk_id", F.col("fusion_score").alias("score"), "rank")
 
 
-def with_payload(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Attach the stored fields of each hit. Only the hits are broadcast, never the chunks."""
-    return chunks.join(broadcast_if_small(hits), "chunk_id")
+def with_payload(hits: DataFrame, chunks: DataFrame, queries: DataFrame | None = None,
+                 k: int = config.TOP_K) -> DataFrame:
+    """Attach the stored fields of each hit.
+
+    There are at most ``k`` hits per query, so counting the queries tells whether the hits
+    may be broadcast; the chunks never are. Without ``queries`` the hits are left to
+    shuffle with the chunks.
+    """
+    small = queries is not None and is_small(queries.select("query_id"), BROADCAST_MAX_ROWS // k)
+    return chunks.join(F.broadcast(hits) if small else hits, "chunk_id")
 
 
 def normalise_hits(hits: DataFrame) -> DataFrame:
@@ -87,7 +95,8 @@ def normalise_hits(hits: DataFrame) -> DataFrame:
 def search(index: Index, queries: DataFrame, retriever: str = "hybrid",
            k: int = config.TOP_K) -> DataFrame:
     """Search and return full hits."""
-    return normalise_hits(with_payload(retrieve(index, queries, retriever, k), index.chunks))
+    return normalise_hits(with_payload(
+        retrieve(index, queries, retriever, k), index.chunks, queries, k))
 
 
 def multi_query(index: Index, queries: DataFrame, rewrites: DataFrame, retriever: str = "hybrid",
@@ -104,7 +113,7 @@ def multi_query(index: Index, queries: DataFrame, rewrites: DataFrame, retriever
         F.col("query_id.query_id").alias("query_id"), F.col("query_id.route").alias("route"),
         "chunk_id", "score", "rank")
     if key != "chunk_id":
-        hits = with_payload(hits, index.chunks.select("chunk_id", key))
+        hits = with_payload(hits, index.chunks.select("chunk_id", key), batch, k)
     fused = fusion.rrf(hits, k, key=key)
     return fused.select("query_id", "chunk_id", F.col("fusion_score").alias("score"), "rank")
 

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import cache
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
@@ -157,13 +155,6 @@ routes AS (SELECT query_id, 0 AS route, rank, score, chunk_id FROM dense
            UNION ALL SELECT query_id, 1, rank, score, chunk_id FROM sparse)"""
 
 
-def fused_sql(value: str, how: str, src: str = "routes") -> str:
-    return f"""SELECT query_id, chunk_id, score, rank FROM (
-  SELECT query_id, chunk_id, round({how}({value}), 6) AS score,
-         min(route * 1000000 + rank) AS seen FROM {src} GROUP BY ALL)
-QUALIFY (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen, chunk_id)::INTEGER AS rank) <= {K}"""
-
-
 def fused_sql_ranked(value: str, how: str, src: str = "routes") -> str:
     return f"""SELECT query_id, chunk_id, score,
        row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen, chunk_id)::INTEGER AS rank
@@ -253,7 +244,8 @@ SELECT query_id, chunk_id, old_rank, rerank_score,
        row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, old_rank)::INTEGER AS rank
 FROM o QUALIFY rank <= {K}""")
 def rerank_overlap(spark, sf_dir):
-    hits = search.with_payload(sparse_hits(spark, sf_dir, 2 * K), corpus(spark, sf_dir))
+    hits = search.with_payload(sparse_hits(spark, sf_dir, 2 * K), corpus(spark, sf_dir),
+                               questions(spark, sf_dir), 2 * K)
     asked = hits.join(F.broadcast(questions(spark, sf_dir)), "query_id")
     best = search.relevance_order(
         asked, search.overlap_score(F.col("question"), F.col("content_text")), K)
@@ -277,7 +269,8 @@ SELECT query_id, string_agg('[来源' || rank || ': ' || source || ']' || chr(10
                             chr(10) || chr(10) ORDER BY rank) AS context
 FROM sparse JOIN documents d ON d.doc_id = chunk_id GROUP BY query_id""")
 def context_format(spark, sf_dir):
-    hits = search.with_payload(sparse_hits(spark, sf_dir), corpus(spark, sf_dir))
+    hits = search.with_payload(sparse_hits(spark, sf_dir), corpus(spark, sf_dir),
+                               questions(spark, sf_dir), K)
     return generation.context_text(hits)
 
 

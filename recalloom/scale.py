@@ -27,6 +27,17 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
     return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Feed all cores from a table too small to do so itself.
+
+    A file of one row group is read by one task, which would then also do all the text
+    work behind it. A table of at least as many splits as cores is returned unchanged, so
+    a large one is never shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int | None,
           rank: str = "rank") -> DataFrame:
     """Keep the ``k`` first rows of each group and number them from 1; ``None`` keeps all.
