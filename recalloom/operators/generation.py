@@ -41,16 +41,20 @@ def answer_prompt(question: Column, context: Column) -> Column:
 
 
 def generate_answers(questions: DataFrame, hits: DataFrame, model: Callable[[Column], Column],
-                     by: Sequence[str] = ("pipeline",)) -> DataFrame:
-    """``by..., query_id, answer``. A question without hits is not sent to the model."""
+                     by: Sequence[str] = ("pipeline",), runs: int = 1) -> DataFrame:
+    """``by..., query_id, run, answer``: one model call per question and run.
+
+    A question without hits is not sent to the model.
+    """
     ctx = context_text(hits, (*by, "query_id"))
-    asked = ctx.join(questions.select("query_id", "question"), "query_id")
-    replies = asked.select(*by, "query_id", model(
+    each = F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run")
+    asked = ctx.join(questions.select("query_id", "question"), "query_id").select("*", each)
+    return asked.select(*by, "query_id", "run", model(
         answer_prompt(F.col("question"), F.col("context"))).alias("answer"))
-    return replies
 
 
-def fill_unanswered(answers: DataFrame, grid: DataFrame, by: Sequence[str] = ("pipeline",)) -> DataFrame:
+def fill_unanswered(answers: DataFrame, grid: DataFrame,
+                    by: Sequence[str] = ("pipeline", "run")) -> DataFrame:
     """Questions of ``grid`` without an answer row get the fixed no-result text."""
     return grid.select(*by, "query_id").join(answers, [*by, "query_id"], "left").fillna(
         NO_RESULT, subset=["answer"])

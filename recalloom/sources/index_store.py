@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
+from ..functions.text import word_tokens
+from ..operators.bm25 import SparseIndex
+from ..operators.enrich import cache_misses
+from ..operators.search import Index
 
 
 def collection_name(kb: Column, suffix: Column, with_meta: bool = False) -> Column:
@@ -19,3 +24,92 @@ def split_collection(name: Column) -> tuple[Column, Column]:
     at = F.instr(name, config.NAME_SEPARATOR)
     n = len(config.NAME_SEPARATOR)
     return name.substr(F.lit(1), at - 1), name.substr(at + n, F.length(name))
+
+
+# An index is named by these columns; every table of the store is partitioned by them.
+KEY = ("kb", "chunker", "section_mode", "with_meta")
+TABLES = ("chunks", "postings", "vocab", "stats", "vectors")
+
+
+class IndexStore:
+    """Indexes below one directory. Reads prune to the partitions of the named index."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _exists(self, table: str) -> bool:
+        try:
+            self.table(table)
+            return True
+        except AnalysisException:
+            return False
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+    def keys(self) -> DataFrame:
+        """The indexes there are; only partition names and footers are read."""
+        if not self._exists("stats"):
+            return self.spark.createDataFrame([], "kb string, chunker string, section_mode string, "
+                                                  "with_meta boolean")
+        return self.table("stats").select(*KEY).distinct()
+
+    def knowledge_bases(self) -> list[str]:
+        return sorted(r[0] for r in self.keys().select("kb").distinct().collect())
+
+    def strategies(self, kb: str) -> list[str]:
+        """Names below one knowledge base, as they follow its prefix in a collection name."""
+        rows = self.keys().where(F.col("kb") == kb).collect()
+        return sorted({r["chunker"] + ("_meta" if r["with_meta"] else "") for r in rows})
+
+    def has(self, key: dict) -> bool:
+        return not self._only(self.keys(), key).isEmpty()
+
+    @staticmethod
+    def _only(df: DataFrame, key: dict) -> DataFrame:
+        for column in KEY:
+            df = df.where(F.col(column) == F.lit(key[column]))
+        return df
+
+    def read(self, name: str, key: dict) -> DataFrame:
+        if not self.has(key):
+            raise LookupError(f"no index {key}; build it first")
+        return self._only(self.table(name), key).drop(*KEY)
+
+    def count(self, key: dict) -> int:
+        """Chunks in an index, 0 when there is none."""
+        return self._only(self.table("chunks"), key).count() if self.has(key) else 0
+
+    def write(self, name: str, df: DataFrame, key: dict) -> None:
+        """Replace one index's part of a table; a repeated write leaves the same result."""
+        keyed = df.withColumns({c: F.lit(key[c]) for c in KEY})
+        (keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(*KEY).parquet(f"{self.path}/{name}"))
+
+    def open(self, key: dict, tokenizer=word_tokens) -> Index:
+        vectors = None
+        if self._exists("vectors") and not self._only(self.table("vectors"), key).isEmpty():
+            vectors = self.read("vectors", key)
+        sparse = SparseIndex(postings=self.read("postings", key))
+        return Index(self.read("chunks", key), sparse, vectors, tokenizer)
+
+
+class MetadataCache:
+    """Model-made summaries, kept between builds in an append-only table."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: list[str]):
+        self.spark, self.path, self.schema, self.key = spark, path, schema, key
+
+    def read(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(self.schema).parquet(self.path)
+        except AnalysisException:
+            return self.spark.createDataFrame([], self.schema)
+
+    def extend(self, wanted: DataFrame, make) -> DataFrame:
+        """Append ``make(misses)`` for the rows not cached yet and return the whole cache."""
+        misses = cache_misses(wanted, self.read(), self.key)
+        if not misses.isEmpty():
+            columns = self.spark.createDataFrame([], self.schema).columns
+            make(misses).select(*columns).write.mode("append").parquet(self.path)
+        return self.read()
