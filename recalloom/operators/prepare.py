@@ -113,7 +113,8 @@ def enrich_test_set(rows: DataFrame, model: Model) -> DataFrame:
                        text("ref_docs").alias("_ref"))
     answered = strip(F.col("正确回答")) != ""
     reply = model(points_prompt(F.col("问题"), F.col("正确回答"), F.col("_ref")))
-    asked = base.withColumn("_p", F.when(answered, validate_points(parse_points(reply))))
+    parsed = base.withColumn("_reply", reply).withColumn("_raw", parse_points(F.col("_reply")))
+    asked = parsed.withColumn("_p", F.when(answered, validate_points(F.col("_raw"))))
     ref = strip(F.col("_ref"))
     cite = answered & (ref != "")
     empty = F.array().cast("array<string>")

@@ -52,7 +52,8 @@ class IndexStore:
         if not self._exists("stats"):
             return self.spark.createDataFrame([], "kb string, chunker string, section_mode string, "
                                                   "with_meta boolean")
-        return self.table("stats").select(*KEY).distinct()
+        names = [F.col(c).cast("boolean" if c == "with_meta" else "string").alias(c) for c in KEY]
+        return self.table("stats").select(*names).distinct()
 
     def knowledge_bases(self) -> list[str]:
         return sorted(r[0] for r in self.keys().select("kb").distinct().collect())
@@ -67,8 +68,10 @@ class IndexStore:
 
     @staticmethod
     def _only(df: DataFrame, key: dict) -> DataFrame:
+        # Partition values are compared as written, whatever type the reader infers.
         for column in KEY:
-            df = df.where(F.col(column) == F.lit(key[column]))
+            df = df.where(F.col(column).cast("string") == str(key[column]).lower()
+                          if column == "with_meta" else F.col(column).cast("string") == key[column])
         return df
 
     def read(self, name: str, key: dict) -> DataFrame:
@@ -82,6 +85,8 @@ class IndexStore:
 
     def write(self, name: str, df: DataFrame, key: dict) -> None:
         """Replace one index's part of a table; a repeated write leaves the same result."""
+        if key["kb"][:1].isdigit():
+            raise ValueError("the name of a knowledge base must not start with a digit")
         keyed = df.withColumns({c: F.lit(key[c]) for c in KEY})
         (keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(*KEY).parquet(f"{self.path}/{name}"))

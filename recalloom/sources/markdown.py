@@ -22,5 +22,5 @@ def shape_files(files: DataFrame, kb: str) -> DataFrame:
 
 def read_markdown(spark: SparkSession, path: str, kb: str) -> DataFrame:
     """All ``*.md`` files below ``path``; an empty directory gives no rows."""
-    files = (spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(path))
+    files = spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True)
     return shape_files(files, kb)
