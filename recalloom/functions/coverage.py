@@ -5,12 +5,79 @@ from __future__ import annotations
 from collections import Counter
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# Pairs of texts whose comparison table would exceed this many cells are aligned in
+# another, slower way with the same result.
+MAX_TABLE_CELLS = 1 << 25
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+
+
+def _longest_run(equal: np.ndarray) -> tuple[int, int, int]:
+    """Start row, start column and length of the longest diagonal run of True; the first
+    one by row, then column. Runs are found by doubling their length."""
+    if not equal.size or not equal.any():
+        return 0, 0, 0
+    doubled = [equal]
+    while True:
+        size, last = 1 << (len(doubled) - 1), doubled[-1]
+        if min(last.shape) <= size:
+            break
+        longer = last[:-size, :-size] & last[size:, size:]
+        if not longer.any():
+            break
+        doubled.append(longer)
+    size, found = 1 << (len(doubled) - 1), doubled[-1]
+    for p in range(len(doubled) - 2, -1, -1):
+        rows, cols = found.shape[0] - (1 << p), found.shape[1] - (1 << p)
+        if rows <= 0 or cols <= 0:
+            continue
+        longer = found[:rows, :cols] & doubled[p][size:size + rows, size:size + cols]
+        if longer.any():
+            size, found = size + (1 << p), longer
+    i, j = divmod(int(found.argmax()), found.shape[1])
+    return i, j, size
+
+
+def matched_chars(a: str, b: str, autojunk: bool = True) -> int:
+    """Total size of the matching blocks of two texts: the longest common block, then the
+    same left and right of it. With ``autojunk`` a character that makes up more than one
+    hundredth of a text of 200 or more only extends blocks and starts none."""
+    if len(a) * len(b) > MAX_TABLE_CELLS:
+        blocks = SequenceMatcher(None, a, b, autojunk=autojunk).get_matching_blocks()
+        return sum(block.size for block in blocks)
+    ca, cb = _codes(a), _codes(b)
+    same = ca[:, None] == cb[None, :]
+    seeds = same
+    if autojunk and len(b) >= 200:
+        values, counts = np.unique(cb, return_counts=True)
+        seeds = same & ~np.isin(cb, values[counts > len(b) // 100 + 1])[None, :]
+    total, todo = 0, [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        i, j, size = _longest_run(seeds[a0:a1, b0:b1])
+        i, j = i + a0, j + b0
+        while i > a0 and j > b0 and same[i - 1, j - 1]:
+            i, j, size = i - 1, j - 1, size + 1
+        while i + size < a1 and j + size < b1 and same[i + size, j + size]:
+            size += 1
+        if size:
+            total += size
+            if a0 < i and b0 < j:
+                todo.append((a0, i, b0, j))
+            if i + size < a1 and j + size < b1:
+                todo.append((i + size, a1, j + size, b1))
+    return total
+
+
 def block_coverage(needle: str | None, haystack: str | None, autojunk: bool,
                    floor: float = 0.0) -> float:
     """Share of ``needle`` found in matching blocks of ``haystack``.
@@ -26,8 +93,7 @@ def block_coverage(needle: str | None, haystack: str | None, autojunk: bool,
         shared = sum(min(n, have[ch]) for ch, n in Counter(needle).items())
         if shared / len(needle) < floor:
             return 0.0
-    blocks = SequenceMatcher(None, needle, haystack, autojunk=autojunk).get_matching_blocks()
-    return sum(block.size for block in blocks) / len(needle)
+    return matched_chars(needle, haystack, autojunk) / len(needle)
 
 
 def coverage(needle: Column, haystack: Column, autojunk: bool = True,

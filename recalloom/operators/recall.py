@@ -15,6 +15,13 @@ from ..scale import is_small
 RUN = ("pipeline", "top_k")
 
 
+def _spread_work(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash rows over all shuffle partitions. Alignment costs far more than the bytes it
+    reads suggest, and a fixed number keeps adaptive execution from merging small ones."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
 def _with_coverage(hits: DataFrame, run: list[str], charset: str, measure: str,
                    threshold: float, autojunk: bool) -> DataFrame:
     """Add ``coverage``. The costly measure is taken once per question and text, however
@@ -24,8 +31,9 @@ def _with_coverage(hits: DataFrame, run: list[str], charset: str, measure: str,
             F.col("gold_answer"), F.col("content_text")))
     pair = ["query_id", "chunk_id"]
     fixed = ["content_text", "source", "gold_answer", "_ref"]
-    once = hits.groupBy(*pair).agg(*[F.first(c).alias(c) for c in fixed],
-                                   F.collect_list(F.struct(*run, "rank")).alias("_runs"))
+    per_run = F.struct(*run, "rank", *[c for c in ("score",) if c in hits.columns])
+    once = _spread_work(hits, pair).groupBy(*pair).agg(
+        *[F.first(c).alias(c) for c in fixed], F.collect_list(per_run).alias("_runs"))
     measured = once.withColumn("coverage", coverage(
         keep_charset(F.col("gold_answer"), charset), keep_charset(F.col("content_text"), charset),
         autojunk, threshold))
@@ -41,21 +49,23 @@ def first_hit(flag: Column, rank: Column) -> Column:
 def question_recall(hits: DataFrame, test_set: DataFrame, run: Sequence[str] = RUN,
                     threshold: float = config.COVERAGE_THRESHOLD, charset: str = "cjk",
                     measure: str = "blocks", autojunk: bool = True, concat: bool = True,
-                    runs: DataFrame | None = None, aliases=()) -> DataFrame:
+                    runs: DataFrame | None = None, aliases=(), with_score: bool = False) -> DataFrame:
     """Single, merged, concatenated and file recall for every run and question.
 
     ``hits``: ``run..., query_id, rank, chunk_id, content_text, source``;
     ``test_set``: ``query_id, gold_answer, ref_file``. Single and merged recall are the
     same flag (some text reaches the threshold), so coverage is measured once; only the
     single one has a position. ``runs`` lists the runs so that a question without any hit
-    counts as a miss.
+    counts as a miss. ``with_score`` adds ``top_score``, the best score of each list.
     """
     run = list(run)
+    scored = ["score"] if with_score else []
     gold = test_set.select("query_id", "gold_answer", normalise_file_ref(
         F.coalesce("ref_file", F.lit(""))).alias("_ref"))
     if is_small(test_set.select("query_id", "gold_answer", "ref_file")):
         gold = F.broadcast(gold)
-    judged = hits.select(*run, "query_id", "rank", "chunk_id", "content_text", "source").join(
+    judged = hits.select(*run, "query_id", "rank", "chunk_id", "content_text", "source",
+                         *scored).join(
         gold, "query_id")
     marked = (_with_coverage(judged, run, charset, measure, threshold, autojunk)
               .withColumn("_src", normalise_file_ref(F.coalesce("source", F.lit(""))))
@@ -64,9 +74,12 @@ def question_recall(hits: DataFrame, test_set: DataFrame, run: Sequence[str] = R
     # A group is one result list, at most top_k texts long.
     listed = F.array_sort(F.collect_list(F.struct("rank", "content_text")))
     joined = F.array_join(F.transform(listed, lambda h: keep_charset(h["content_text"], charset)), "")
+    if concat:
+        marked = _spread_work(marked, [*run, "query_id"])
     per_q = marked.groupBy(*run, "query_id").agg(
         first_hit(F.col("_ok"), F.col("rank")).alias("hit_rank"),
         first_hit(F.col("_file"), F.col("rank")).alias("file_rank"),
+        *([F.max("score").alias("top_score")] if with_score else []),
         *([joined.alias("_all"), F.first("gold_answer").alias("_gold")] if concat else []))
     flags = per_q.withColumn("single", (F.col("hit_rank") > 0).cast("int")).withColumn(
         "file", (F.col("file_rank") > 0).cast("int")).withColumn("merged", F.col("single"))

@@ -311,10 +311,9 @@ def strategy_results(spark, sf_dir) -> DataFrame:
         hits = document_hits(spark, sf_dir, 5, **params).withColumn("strategy", F.lit(name))
         out = hits if out is None else out.unionByName(hits)
     flags = recall.question_recall(out, test_set(spark, sf_dir), ["strategy"], measure="verbatim",
-                                   concat=False)
-    best = out.groupBy("strategy", "query_id").agg(F.max("score").alias("score"))
-    return best.join(flags, ["strategy", "query_id"]).select(
-        "query_id", "strategy", "score", F.col("single").alias("recall"), "hit_rank")
+                                   concat=False, with_score=True)
+    return flags.select("query_id", "strategy", F.col("top_score").alias("score"),
+                        F.col("single").alias("recall"), "hit_rank")
 
 
 RESULTS = f"""{MODEL}, {sparse_sql(5, 'sa')}, {sparse_sql(5, 'sb', b=0.0)}, {TEST_SET},

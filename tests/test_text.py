@@ -71,3 +71,20 @@ def test_coverage_floor_keeps_every_flag():
         for junk in (True, False):
             plain = sum(m.size for m in SequenceMatcher(None, a, b, junk).get_matching_blocks()) / len(a)
             assert (coverage.block_coverage(a, b, junk, 0.7) >= 0.7) == (plain >= 0.7)
+
+
+def test_matched_chars_equals_difflib(monkeypatch):
+    import random
+    rng = random.Random(11)
+    for n in range(400):
+        letters = "abcdefghijklmnopqrstuvwxyz"[:rng.choice([2, 4, 8, 26])]
+        a = "".join(rng.choice(letters) for _ in range(rng.randint(1, 60)))
+        b = "".join(rng.choice(letters) for _ in range(rng.randint(1, rng.choice([20, 300, 600]))))
+        if n % 3 == 0:
+            at = rng.randint(0, len(b))
+            b = b[:at] + a[: rng.randint(0, len(a))] + b[at:]
+        for junk in (True, False):
+            want = sum(m.size for m in SequenceMatcher(None, a, b, junk).get_matching_blocks())
+            assert coverage.matched_chars(a, b, junk) == want, (a, b, junk)
+    monkeypatch.setattr(coverage, "MAX_TABLE_CELLS", 1)
+    assert coverage.matched_chars("abcd", "xbcx", False) == 2
