@@ -14,7 +14,7 @@ from .config import FullConfig, RecallConfig
 from .functions.embedding import embedder
 from .functions.models import chat_model
 from .functions.text import TOKENIZERS
-from .operators import compare, prepare, reports
+from .operators import compare, prepare, reports, scores
 from .plans import build, experiment, multi_query, registry
 from .plans.service import SearchService
 from .session import local_session
@@ -22,13 +22,14 @@ from .sources import demo, markdown, results, test_sets
 from .sources.index_store import IndexStore
 
 
-def _model():
+def _model(system: str | None = None):
     """The chat endpoint of the environment; None without one."""
     url = os.getenv("LLM_BASE_URL")
     if not url:
         return None
     fallbacks = [m for m in os.getenv("LLM_FALLBACK_MODELS", "").split(",") if m]
-    return chat_model(url, os.getenv("LLM_MODEL", ""), os.getenv("LLM_API_KEY", ""), fallbacks)
+    return chat_model(url, os.getenv("LLM_MODEL", ""), os.getenv("LLM_API_KEY", ""), fallbacks,
+                      system)
 
 
 def _need_model():
@@ -94,15 +95,13 @@ def cmd_recall(spark, args):
     ks = [int(k) for k in _list(args.top_k)]
     cfg, setup = _config(RecallConfig, args, top_k_values=ks), _setup(spark, args)
     tests = test_sets.read_test_set(spark, args.test_set)
-    out = experiment.run_recall(cfg, tests, setup, _docs(spark, args), _model())
     target = os.path.join(args.output, cfg.name)
     experiment.save_config(cfg, target)
-    results.save_recall(out, target)
-    rates = spark.read.parquet(f"{target}/rates")
-    recalled = spark.read.parquet(f"{target}/recall")
+    out = experiment.run_recall(cfg, tests, setup, _docs(spark, args), _model(), out=target)
     for k in ks:
-        results.save_workbook(results.recall_sheets(recalled, rates, tests, cfg.values, k), f"{target}/top{k}")
-    matrix = reports.topk_matrix(rates, ks)
+        results.save_workbook(results.recall_sheets(out["recall"], out["rates"], tests, cfg.values, k),
+                              f"{target}/top{k}")
+    matrix = reports.topk_matrix(out["rates"], ks)
     print(results.html_report(matrix, cfg.name, f"{target}/report.html", [f"single_rate_top{min(ks)}"]))
 
 
@@ -110,11 +109,11 @@ def cmd_run(spark, args):
     model = _need_model()
     cfg = _config(FullConfig, args, top_k=int(args.top_k), score_mode=args.score_mode, runs=args.runs)
     tests = test_sets.read_test_set(spark, args.test_set)
-    out = experiment.run_full(cfg, tests, _setup(spark, args), model, model, _docs(spark, args))
     target = os.path.join(args.output, cfg.name)
     experiment.save_config(cfg, target)
-    results.save_recall(out, target)
-    ranking = reports.ranking(spark.read.parquet(f"{target}/ranking"), "best_avg", "strategy")
+    out = experiment.run_full(cfg, tests, _setup(spark, args), model, _model(scores.RUBRICS[cfg.score_mode]),
+                              _docs(spark, args), rerank_model=model, out=target)
+    ranking = reports.ranking(out["ranking"], "best_avg", "strategy")
     print(results.html_report(ranking, cfg.name, f"{target}/report.html", ["best_avg"], "strategy"))
 
 
@@ -149,9 +148,8 @@ def cmd_mq_recall(spark, args):
     target = os.path.join(args.output, cfg.name)
     results.save_jsonl(multi_query.make_rewrites(tests, _need_model()), f"{target}/rewrites")
     rewrites = spark.read.schema("query_id string, route int, question string").json(f"{target}/rewrites")
-    out = multi_query.run_multi_query(cfg, tests, rewrites, _setup(spark, args), _docs(spark, args))
-    results.save_recall(out, target, ("chunker", "top_k"))
-    spark.read.parquet(f"{target}/cross").show(100, False)
+    out = multi_query.run_multi_query(cfg, tests, rewrites, _setup(spark, args), _docs(spark, args), target)
+    out["cross"].show(100, False)
 
 
 def cmd_budget(spark, args):

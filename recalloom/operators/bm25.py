@@ -69,10 +69,10 @@ def document_frequencies(tokenised: DataFrame, by: Sequence[str] = ()) -> DataFr
 
 
 def vocabulary(tokenised: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """``by..., token, df, idf``."""
+    """``by..., token, df, idf, n_docs``."""
     df = document_frequencies(tokenised, by)
     return _with_stats(df, corpus_stats(tokenised, by), by).select(
-        *by, "token", "df", idf(F.col("n_docs"), F.col("df")).alias("idf"))
+        *by, "token", "df", idf(F.col("n_docs"), F.col("df")).alias("idf"), "n_docs")
 
 
 def _with_stats(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -109,17 +109,25 @@ def token_ids(vocab: DataFrame, prefix_chars: int = 3) -> DataFrame:
         (F.col("_before_df") + F.col("_before") + F.col("_place") - 1).alias("token_id"))
 
 
-def document_weights(tokenised: DataFrame, by: Sequence[str] = (), hot_df: int = 100_000,
-                     k1: float = config.BM25_K1, b: float = config.BM25_B) -> DataFrame:
-    """The encoded corpus: ``by..., chunk_id, token, tf, weight``.
+# A token is frequent from this share of all texts on. As a text holds a limited number of
+# distinct tokens, at most (mean distinct tokens per text / share) tokens can be frequent,
+# however many texts there are.
+FREQUENT_SHARE = 0.01
 
-    The join with the vocabulary is on very uneven keys: tokens of at least ``hot_df``
-    texts are few and broadcast, the others shuffle.
+
+def document_weights(tokenised: DataFrame, by: Sequence[str] = (), vocab: DataFrame | None = None,
+                     share: float = FREQUENT_SHARE, k1: float = config.BM25_K1,
+                     b: float = config.BM25_B) -> DataFrame:
+    """The encoded corpus: ``by..., chunk_id, dl, token, tf, weight``.
+
+    The join with the vocabulary is on very uneven keys: tokens of at least ``share`` of
+    the texts are broadcast, the others shuffle. ``vocab`` may be a stored vocabulary.
     """
     tf = term_frequencies(tokenised, by)
-    vocab = vocabulary(tokenised, by)
-    joined = frequent_keys_join(tf, vocab, [*by, "token"], "df", hot_df)
-    return _with_stats(joined, corpus_stats(tokenised, by), by).select(
+    vocab = (vocabulary(tokenised, by) if vocab is None else vocab).select(
+        *by, "token", "df", "idf", "n_docs")
+    joined = frequent_keys_join(tf, vocab, [*by, "token"], F.col("df") >= F.col("n_docs") * share)
+    return _with_stats(joined.drop("n_docs"), corpus_stats(tokenised, by), by).select(
         *by, "chunk_id", "dl", "token", "tf",
         doc_weight(F.col("idf"), F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b).alias("weight"))
 
@@ -161,20 +169,24 @@ class SparseIndex:
             terms, "token", "left_semi").repartition("chunk_id")
         tf = hit.groupBy(*by, "chunk_id", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
         # At most one row per index and query token, so as small as the query side.
-        return tf.join(hint(self._term_model(terms, hint)), [*by, "token"]).select(
+        model = hint(self._term_model(terms)) if small else _with_stats(
+            document_frequencies(self.tokenised, by).join(terms, "token", "left_semi"),
+            corpus_stats(self.tokenised, by), by).select(
+            *by, "token", idf(F.col("n_docs"), F.col("df")).alias("idf"), "avgdl")
+        return tf.join(model, [*by, "token"]).select(
             *by, "chunk_id", "token",
             doc_weight(F.col("idf"), F.col("tf"), F.col("dl"), F.col("avgdl"), self.k1, self.b)
             .alias("weight"))
 
-    def _term_model(self, terms: DataFrame, hint) -> DataFrame:
-        """``by..., token, idf, avgdl`` of the wanted tokens in one pass over the corpus.
+    def _term_model(self, terms: DataFrame) -> DataFrame:
+        """``by..., token, idf, avgdl`` of few wanted tokens in one pass over the corpus.
 
         The empty string, never a token itself, stands once in every text and so carries
         the number of texts and their total length.
         """
         by = list(self.by)
         mark = terms.sparkSession.range(1).select(F.lit("").alias("token"))
-        wanted = hint(terms.unionByName(mark))
+        wanted = F.broadcast(terms.unionByName(mark))
         every = F.array_append(F.array_distinct("tokens"), F.lit(""))
         seen = _occurrences(self.tokenised, [*by, "dl"], every).join(
             wanted, "token", "left_semi").groupBy(*by, "token").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("_length"))

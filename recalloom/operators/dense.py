@@ -21,6 +21,10 @@ from .. import config
 from ..scale import is_small, top_k
 
 
+# Queries multiplied at a time; bounds the score table to this many rows of one Arrow batch.
+QUERY_BLOCK = 512
+
+
 def _matrix(column) -> np.ndarray:
     """An Arrow list column as rows of a float64 matrix."""
     if isinstance(column, pa.ChunkedArray):
@@ -46,8 +50,9 @@ class _Best:
         self.scores = [np.empty(0)] * n_queries
         self.ids = [np.empty(0, dtype=object)] * n_queries
 
-    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        for i, row in enumerate(scores):
+    def add(self, scores: np.ndarray, ids: np.ndarray, first: int) -> None:
+        """Take in the scores of consecutive queries from number ``first`` on."""
+        for i, row in enumerate(scores, first):
             floor = self.scores[i][-1] if len(self.scores[i]) == self.k else -np.inf
             keep = np.flatnonzero(row >= floor)
             if len(keep) > 4 * self.k:
@@ -66,8 +71,10 @@ def _scan(batches, query_ids: list, matrix: np.ndarray, k: int, schema: pa.Schem
             continue
         vectors = _unit(_matrix(batch.column(1)))
         ids = np.array(batch.column(0).to_pylist(), dtype=object)
-        # + 0.0 turns a negative zero into zero, so that equal scores compare equal.
-        best.add(np.round(matrix @ vectors.T, config.SCORE_DECIMALS) + 0.0, ids)
+        for at in range(0, len(query_ids), QUERY_BLOCK):
+            scores = matrix[at:at + QUERY_BLOCK] @ vectors.T
+            # + 0.0 turns a negative zero into zero, so that equal scores compare equal.
+            best.add(np.round(scores, config.SCORE_DECIMALS) + 0.0, ids, at)
     rows = [(q, i, float(s)) for q, ids, scores in zip(query_ids, best.ids, best.scores)
             for i, s in zip(ids, scores)]
     if rows:

@@ -10,7 +10,23 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions.scoring import rerank_score, score_columns, score_reason
 
-__all__ = ["score_reasons", "to_grade", "grade", "score_rollup", "grading_prompt", "rerank_score"]
+__all__ = ["RUBRICS", "score_reasons", "to_grade", "grade", "score_rollup", "grading_prompt",
+           "rerank_score"]
+
+_REPLY_FORMAT = (
+    'Reply with JSON only: {"评分理由": [...], "总分": n}. List one item per point, written '
+    '"[必答]i: 得分" or "[必答]i: 0分", likewise "[选答]i: ..." and "[参考文件]i: ...", each followed by a '
+    'reason; add "(surplus)" for every statement beside the question and "[冲突点]" if the answer '
+    "contradicts the reference points.")
+
+# Instructions of the two grading modes, given to the model as its system text.
+RUBRICS = {
+    "rubric": "You grade an answer against reference points. A required or optional point counts "
+              "when the answer conveys it; a reference file counts when it is cited. " + _REPLY_FORMAT,
+    "strict": "You grade an answer strictly against reference points. A point counts only when the "
+              "answer states its core meaning precisely and with the same conclusion; a reference "
+              "file counts only when it is named exactly. " + _REPLY_FORMAT,
+}
 
 
 def score_reasons(reasons: DataFrame, reason: str = "reason", strict: bool = False) -> DataFrame:

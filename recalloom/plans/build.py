@@ -89,12 +89,12 @@ def build_index(docs: DataFrame, key: dict, setup: Build, force: bool = False) -
     store.write("chunks", chunk_documents(docs, key, setup), key)
     chunks = store._only(store.table("chunks"), key)
     tokenised = bm25.tokenise(chunks, tokenizer=setup.tokenizer)
+    store.write("vocab", bm25.token_ids(bm25.vocabulary(tokenised)), key)
+    postings = bm25.document_weights(tokenised, vocab=store._only(store.table("vocab"), key))
     # Sorted by token inside range partitions, a search reads only row groups of its terms.
     # The chunk id in the range splits a token that occurs everywhere over many files.
-    postings = bm25.document_weights(tokenised)
     store.write("postings", postings.repartitionByRange("token", "chunk_id")
                 .sortWithinPartitions("token", "chunk_id"), key)
-    store.write("vocab", bm25.token_ids(bm25.vocabulary(tokenised)), key)
     if setup.embed is not None:
         store.write("vectors", chunks.select(
             "chunk_id", setup.embed(F.col("index_text")).alias("embedding")), key)
@@ -147,8 +147,11 @@ def stored_metadata(spark: SparkSession, docs: DataFrame, model: Model, path: st
     made = section_cache.extend(keyed, lambda new: enrich.summarise_sections(new, model).join(
         new.select(*key, "content_hash"), key))
     current = made.join(keyed.select(*key, "content_hash"), [*key, "content_hash"], "left_semi")
-    prints = keyed.groupBy("file_id").agg(F.sha2(F.concat_ws(",", F.array_sort(
-        F.collect_list("content_hash"))), 256).alias("content_hash"))
+    # One fingerprint per file without listing its sections.
+    section_print = F.xxhash64("section_idx", "content_hash")
+    prints = keyed.groupBy("file_id").agg(F.concat_ws(
+        "-", F.hex(F.bit_xor(section_print)), F.hex(F.sum(F.shiftrightunsigned(section_print, 16))),
+        F.count(F.lit(1)).cast("string")).alias("content_hash"))
     file_cache = MetadataCache(spark, f"{path}/files", "file_id string, content_hash string, "
                                "file_type string, file_summary string", ["file_id", "content_hash"])
     files = file_cache.extend(prints, lambda new: enrich.file_metadata(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import keep_charset
 from ..operators import bm25, chunkers, compare, enrich, recall, reports, scores, search, sections
+from ..scale import broadcast_if_small
 from .catalog import query, table
 from .retrieval_queries import (MODEL, MQ_ROUTES, corpus, fused_sql_ranked, half_rewrites, questions,
                                 sparse_hits, sparse_sql, tokens_sql)
@@ -22,7 +23,7 @@ def test_set(spark, sf_dir) -> DataFrame:
     files = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("query_id"), F.concat(F.lit(" "), "source", F.lit(".pdf")).alias("ref_file"))
     items = questions(spark, sf_dir).withColumn("gold_answer", F.col("question"))
-    return files.join(F.broadcast(items), "query_id").select(
+    return files.join(broadcast_if_small(items), "query_id").select(
         "query_id", "question", "gold_answer", "ref_file")
 
 
@@ -103,7 +104,7 @@ FROM na LEFT JOIN nh USING (query_id, chunk_id, ch) GROUP BY ALL""")
 def coverage_bound(spark, sf_dir):
     """The share of gold characters that a text could cover at most."""
     hits = document_hits(spark, sf_dir, 5).join(
-        F.broadcast(questions(spark, sf_dir)), "query_id")
+        broadcast_if_small(questions(spark, sf_dir)), "query_id")
     asked = keep_charset(F.col("question"), "alnum")
     found = keep_charset(F.col("content_text"), "alnum")
     chars = F.array_distinct(F.split(asked, ""))

@@ -15,6 +15,7 @@ from ..config import FullConfig, RecallConfig
 from ..functions.models import Model
 from ..functions.scoring import rerank_score
 from ..operators import generation, recall, scores, search
+from ..scale import written
 from ..sources.index_store import IndexStore
 from . import build
 
@@ -98,9 +99,20 @@ def pipeline_hits(pipe: dict, cfg: RecallConfig, questions: DataFrame, setup: bu
         "query_id", F.col("query_id.query_id"))
 
 
+RUN = ("pipeline", "top_k")
+
+
+def _keep(name: str, df: DataFrame, out: str | None, by=RUN) -> DataFrame:
+    return df if out is None else written(df, f"{out}/{name}", by)
+
+
 def run_recall(cfg: RecallConfig, test_set: DataFrame, setup: build.Build, docs: DataFrame | None = None,
-               model: Model | None = None, scorer=None) -> dict[str, DataFrame]:
-    """A recall experiment: ``hits, recall, rates``, long over pipelines and k."""
+               model: Model | None = None, scorer=None, out: str | None = None) -> dict[str, DataFrame]:
+    """A recall experiment: ``hits, recall, rates``, long over pipelines and k.
+
+    With ``out`` each table is written there and the next one made from it, so that the
+    search runs once; without it all three are lazy.
+    """
     pipelines = expand(cfg)
     ensure_built(cfg, pipelines, docs, setup)
     hits = None
@@ -109,26 +121,29 @@ def run_recall(cfg: RecallConfig, test_set: DataFrame, setup: build.Build, docs:
         hits = part if hits is None else hits.unionByName(part, allowMissingColumns=True)
     runs = test_set.sparkSession.createDataFrame(
         [(p["label"], k) for p in pipelines for k in cfg.top_k_values], "pipeline string, top_k int")
-    flags = recall.question_recall(hits, test_set, threshold=cfg.threshold, charset=cfg.charset, runs=runs)
-    return {"hits": hits, "recall": flags, "rates": recall.rollup(flags)}
+    hits = _keep("hits", hits, out)
+    flags = _keep("recall", recall.question_recall(
+        hits, test_set, threshold=cfg.threshold, charset=cfg.charset, runs=runs), out)
+    return {"hits": hits, "recall": flags, "rates": _keep("rates", recall.rollup(flags), out)}
 
 
 def run_full(cfg: FullConfig, test_set: DataFrame, setup: build.Build, answer_model: Model,
              score_model: Model, docs: DataFrame | None = None, graded: DataFrame | None = None,
-             rerank_model: Model | None = None) -> dict[str, DataFrame]:
+             rerank_model: Model | None = None, out: str | None = None) -> dict[str, DataFrame]:
     """Retrieve, answer, measure recall and grade. ``runs`` answers every question that often."""
     cfg.top_k_values = [cfg.top_k]
-    report = run_recall(cfg, test_set, setup, docs, rerank_model)
+    report = run_recall(cfg, test_set, setup, docs, rerank_model, out=out)
     cells = F.explode(F.array(*[F.struct(F.lit(p["label"]).alias("pipeline"), F.lit(i).alias("run"))
                                 for p in expand(cfg) for i in range(1, cfg.runs + 1)])).alias("_c")
     grid = test_set.select("query_id", cells).select("query_id", "_c.*")
     answers = generation.fill_unanswered(generation.generate_answers(
         test_set, report["hits"], answer_model, runs=cfg.runs), grid).withColumnRenamed(
         "pipeline", "strategy")
-    facts = test_set.drop("gold_answer")
-    todo = answers.join(facts, "query_id")
-    graded_now = scores.grade(todo, score_model, graded)
-    return {**report, "answers": answers, "scores": graded_now, "ranking": scores.score_rollup(graded_now)}
+    answers = _keep("answers", answers, out, ("strategy",))
+    todo = answers.join(test_set.drop("gold_answer"), "query_id")
+    graded_now = _keep("scores", scores.grade(todo, score_model, graded), out, ("strategy",))
+    ranking = _keep("ranking", scores.score_rollup(graded_now), out, ())
+    return {**report, "answers": answers, "scores": graded_now, "ranking": ranking}
 
 
 def save_config(cfg: RecallConfig, out: str) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import RecallConfig
 from ..functions.models import Model
 from ..operators import enrich, recall, search
+from ..scale import written
 from . import build, experiment
 
 # --- fixed values -----------------------------------------------------------
@@ -25,7 +26,7 @@ def make_rewrites(questions: DataFrame, model: Model) -> DataFrame:
 
 
 def run_multi_query(cfg: RecallConfig, test_set: DataFrame, rewrites: DataFrame, setup: build.Build,
-                    docs: DataFrame | None = None) -> dict[str, DataFrame]:
+                    docs: DataFrame | None = None, out: str | None = None) -> dict[str, DataFrame]:
     """Both groups over all chunkers and k: ``recall``, ``rates`` and their ``cross`` table.
 
     ``rewrites`` are made once, stored, and serve every chunker.
@@ -53,6 +54,11 @@ def run_multi_query(cfg: RecallConfig, test_set: DataFrame, rewrites: DataFrame,
     runs = test_set.sparkSession.createDataFrame(
         [(p["chunker"], k, g) for p in pipelines for k in cfg.top_k_values for g in GROUPS],
         "chunker string, top_k int, group string")
-    flags = recall.question_recall(hits, test_set, run, cfg.threshold, cfg.charset, runs=runs)
-    rates = recall.rollup(flags, run)
-    return {"hits": hits, "recall": flags, "rates": rates, "cross": recall.group_delta(rates)}
+
+    def keep(name, df):
+        return df if out is None else written(df, f"{out}/{name}", ("chunker", "top_k"))
+
+    hits = keep("hits", hits)
+    flags = keep("recall", recall.question_recall(hits, test_set, run, cfg.threshold, cfg.charset, runs=runs))
+    rates = keep("rates", recall.rollup(flags, run))
+    return {"hits": hits, "recall": flags, "rates": rates, "cross": keep("cross", recall.group_delta(rates))}

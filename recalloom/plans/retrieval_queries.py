@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions.embedding import hashing_embedder
 from ..operators import bm25, dense, fusion, generation, search
+from ..scale import broadcast_if_small
 from .catalog import query, table
 
 DIM = 64
@@ -72,7 +73,7 @@ def bm25_stats(spark, sf_dir):
 SELECT token, df, round(idf, 6) AS idf, row_number() OVER (ORDER BY df DESC, token) - 1 AS token_id FROM voc""")
 def bm25_vocab(spark, sf_dir):
     vocab = bm25.vocabulary(bm25.tokenise(corpus(spark, sf_dir)))
-    return bm25.token_ids(vocab).withColumn("idf", F.round("idf", 6))
+    return bm25.token_ids(vocab).select("token", "df", F.round("idf", 6).alias("idf"), "token_id")
 
 
 @query("bm25_doc_weights", f"""WITH {MODEL}
@@ -246,7 +247,7 @@ FROM o QUALIFY rank <= {K}""")
 def rerank_overlap(spark, sf_dir):
     hits = search.with_payload(sparse_hits(spark, sf_dir, 2 * K), corpus(spark, sf_dir),
                                questions(spark, sf_dir), 2 * K)
-    asked = hits.join(F.broadcast(questions(spark, sf_dir)), "query_id")
+    asked = hits.join(broadcast_if_small(questions(spark, sf_dir)), "query_id")
     best = search.relevance_order(
         asked, search.overlap_score(F.col("question"), F.col("content_text")), K)
     return best.select("query_id", "chunk_id", "old_rank", "rerank_score", "rank")

@@ -50,18 +50,28 @@ def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int | No
     return ranked if k is None else ranked.where(F.col(rank) <= k)
 
 
-def frequent_keys_join(large: DataFrame, lookup: DataFrame, on: Sequence[str], weight: str,
-                       floor: int, how: str = "inner") -> DataFrame:
-    """Join on keys of very uneven frequency.
-
-    ``lookup`` has one row per key and tells in ``weight`` how many rows of ``large`` carry
-    it. Keys of at least ``floor`` rows are at most ``rows(large) / floor`` in number, so
-    they are joined by broadcast; all others shuffle, and none of them exceeds ``floor``
-    rows. Both parts together hold every row exactly once.
+def frequent_keys_join(large: DataFrame, lookup: DataFrame, on: Sequence[str],
+                       hot: Column) -> DataFrame:
+    """Join on keys of very uneven frequency; ``lookup`` has one row per key.
+
+    ``hot`` picks the frequent keys of ``lookup``. The caller chooses it so that they are
+    provably few; they are joined by broadcast and leave the shuffle to keys none of which
+    dominates. Every row falls in exactly one of the two parts.
     """
     on = list(on)
-    hot = F.broadcast(lookup.where(F.col(weight) >= floor))
-    hot_keys = F.broadcast(lookup.where(F.col(weight) >= floor).select(*on))
-    rare = lookup.where(F.col(weight) < floor)
-    return large.join(hot, on, "inner").unionByName(
-        large.join(hot_keys, on, "left_anti").join(rare, on, how))
+    frequent = F.broadcast(lookup.where(hot))
+    frequent_keys = F.broadcast(lookup.where(hot).select(*on))
+    return large.join(frequent, on).unionByName(
+        large.join(frequent_keys, on, "left_anti").join(lookup.where(~hot), on))
+
+
+def written(df: DataFrame, path: str, by: Sequence[str] = ()) -> DataFrame:
+    """Write a table and go on from what was written.
+
+    What follows neither repeats the work behind it nor depends on any executor that did it.
+    """
+    parts = [c for c in by if c in df.columns]
+    df.write.mode("overwrite").partitionBy(*parts).parquet(path)
+    back = df.sparkSession.read.parquet(path)
+    # Partition values come back with inferred types; keep those they had.
+    return back.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in df.schema])

@@ -18,13 +18,6 @@ from . import xlsx
 REPORT_MAX_ROWS = 10_000
 
 
-def save_recall(report: dict[str, DataFrame], out: str, run: Sequence[str] = ("pipeline", "top_k")) -> None:
-    """Write all long tables of an experiment, partitioned by run."""
-    for name, df in report.items():
-        parts = [c for c in run if c in df.columns]
-        df.write.mode("overwrite").partitionBy(*parts).parquet(f"{out}/{name}")
-
-
 def collect_results(spark: SparkSession, out: str) -> DataFrame:
     """Rates of every experiment below a directory: ``{out}/{experiment}/rates``."""
     return spark.read.option("recursiveFileLookup", False).option("basePath", out).parquet(

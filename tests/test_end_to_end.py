@@ -112,13 +112,12 @@ def test_metadata_cache_asks_only_once(spark, docs, setup, tmp_path):
 
 def test_recall_experiment(spark, docs, setup, tests, tmp_path):
     cfg = RecallConfig(kb="demo", variable="retriever", values=["bm25", "hybrid"], top_k_values=[1, 3])
-    out = experiment.run_recall(cfg, tests, setup, docs)
+    out = experiment.run_recall(cfg, tests, setup, docs, out=str(tmp_path / "exp"))
     got = {(r.pipeline, r.top_k, r.query_id): (r.single, r.hit_rank, r.file) for r in out["recall"].collect()}
     assert len(got) == 2 * 2 * 3
     for k in (1, 3):
         assert got["bm25", k, "Q1"] == (1, 1, 1) and got["bm25", k, "Q3"] == (1, 1, 1)
         assert got["bm25", k, "Q4"] == (0, 0, 0)
-    results.save_recall(out, str(tmp_path / "exp"))
     assert results.collect_results(spark, str(tmp_path)).count() == 4
     sheets = results.recall_sheets(out["recall"], out["rates"], tests, cfg.values, 3)
     results.save_workbook(sheets, str(tmp_path / "_book"))
@@ -137,11 +136,11 @@ def test_rerankers(spark, setup, docs, tests):
     assert "五百元" in first["llm_rerank", "Q3"] and len(first) >= 6
 
 
-def test_full_experiment_and_comparison(setup, docs, tests):
+def test_full_experiment_and_comparison(setup, docs, tests, tmp_path):
     cfg = FullConfig(kb="demo", variable="retriever", values=["bm25", "vector"], top_k=2, runs=2)
     answer = scripted_model(lambda p: "答：" + p[-20:])
     grade = scripted_model(lambda p: json.dumps({"评分理由": ["[必答]1: 得分"]}, ensure_ascii=False))
-    out = experiment.run_full(cfg, tests, setup, answer, grade, docs)
+    out = experiment.run_full(cfg, tests, setup, answer, grade, docs, out=str(tmp_path))
     assert out["answers"].count() == 2 * 3 * 2
     assert {r.strategy: (r.best_avg, r.n_questions) for r in out["ranking"].collect()} == {
         "bm25": (100.0, 3), "vector": (100.0, 3)}
