@@ -209,7 +209,7 @@ def sparse_scores(index: SparseIndex, queries: DataFrame, query_id: str = "query
                   text: str = "question", tokenizer: Tokenizer = word_tokens) -> DataFrame:
     """``by..., query_id, chunk_id, score`` of every chunk sharing a token with a query."""
     # A text has fewer tokens than bytes, so its size bounds the terms made from it.
-    small = is_small(queries.select(query_id, text), max_bytes=config.QUERY_TEXT_MAX_BYTES)
+    small = is_small(queries, max_bytes=config.QUERY_TEXT_MAX_BYTES)
     q = query_terms(queries, query_id, text, tokenizer=tokenizer)
     hits = index.matches(q.select("token").distinct(), small)
     hits = hits.join(F.broadcast(q) if small else q, "token")

@@ -18,11 +18,13 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import config
-from ..scale import is_small, top_k
+from ..scale import top_k
 
 
 # Queries multiplied at a time; bounds the score table to this many rows of one Arrow batch.
 QUERY_BLOCK = 512
+# Query vectors that may be shared with every task.
+MAX_SHARED_QUERIES = 8192
 
 
 def _matrix(column) -> np.ndarray:
@@ -97,15 +99,17 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = config.TOP_K,
     schema = T.StructType([T.StructField("query_id", q.schema["query_id"].dataType),
                            T.StructField("chunk_id", v.schema["chunk_id"].dataType),
                            T.StructField("score", T.DoubleType())])
-    if is_small(q):
-        partial = _scan_with_shared_queries(v, q, k, schema)
+    # Fetch no more than may be shared, then look at what came.
+    head = q.limit(MAX_SHARED_QUERIES + 1).toArrow()
+    if head.num_rows <= MAX_SHARED_QUERIES and head.nbytes <= config.BROADCAST_MAX_BYTES:
+        partial = _scan_with_shared_queries(v, head, k, schema)
     else:
         partial = _scan_by_blocks(v, q, k, schema, block_rows)
     return top_k(partial, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
 
 
-def _scan_with_shared_queries(v: DataFrame, q: DataFrame, k: int, schema) -> DataFrame:
-    table, arrow = q.toArrow(), to_arrow_schema(schema)
+def _scan_with_shared_queries(v: DataFrame, table: pa.Table, k: int, schema) -> DataFrame:
+    arrow = to_arrow_schema(schema)
     shared = v.sparkSession.sparkContext.broadcast(
         (table.column(0).to_pylist(), _unit(_matrix(table.column(1)))))
 

@@ -62,7 +62,7 @@ def question_recall(hits: DataFrame, test_set: DataFrame, run: Sequence[str] = R
     scored = ["score"] if with_score else []
     gold = test_set.select("query_id", "gold_answer", normalise_file_ref(
         F.coalesce("ref_file", F.lit(""))).alias("_ref"))
-    if is_small(test_set.select("query_id", "gold_answer", "ref_file")):
+    if is_small(test_set):
         gold = F.broadcast(gold)
     judged = hits.select(*run, "query_id", "rank", "chunk_id", "content_text", "source",
                          *scored).join(

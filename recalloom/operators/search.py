@@ -72,7 +72,7 @@ def with_payload(hits: DataFrame, chunks: DataFrame, queries: DataFrame | None =
     may be broadcast; the chunks never are. Without ``queries`` the hits are left to
     shuffle with the chunks.
     """
-    small = queries is not None and is_small(queries.select("query_id"), BROADCAST_MAX_ROWS // k)
+    small = queries is not None and is_small(queries, BROADCAST_MAX_ROWS // k)
     return chunks.join(F.broadcast(hits) if small else hits, "chunk_id")
 
 

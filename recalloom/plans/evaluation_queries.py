@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import keep_charset
 from ..operators import bm25, chunkers, compare, enrich, recall, reports, scores, search, sections
 from ..scale import broadcast_if_small
-from .catalog import query, table
+from .catalog import once, query, table
 from .retrieval_queries import (MODEL, MQ_ROUTES, corpus, fused_sql_ranked, half_rewrites, questions,
                                 sparse_hits, sparse_sql, tokens_sql)
 from .text_queries import DOCS_MD, SECTIONS, documents_with_headings
@@ -17,6 +17,7 @@ from .text_queries import DOCS_MD, SECTIONS, documents_with_headings
 STRATEGIES = {"default": {}, "no_length_norm": {"b": 0.0}}
 
 
+@once
 def test_set(spark, sf_dir) -> DataFrame:
     """Benchmark items as questions that quote their own gold answer; each names the file
     of the document bearing its number."""

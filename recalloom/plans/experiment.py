@@ -15,7 +15,7 @@ from ..config import FullConfig, RecallConfig
 from ..functions.models import Model
 from ..functions.scoring import rerank_score
 from ..operators import generation, recall, scores, search
-from ..scale import written
+from ..scale import broadcast_if_small, written
 from ..sources.index_store import IndexStore
 from . import build
 
@@ -50,9 +50,7 @@ def rerank(hits: DataFrame, questions: DataFrame, name: str, model: Model | None
     """Apply a named reranker to full hits."""
     if name == "direct":
         return hits
-    asked = hits.join(F.broadcast(questions.select("query_id", "question")), "query_id") \
-        if search.is_small(questions.select("query_id", "question")) \
-        else hits.join(questions.select("query_id", "question"), "query_id")
+    asked = hits.join(broadcast_if_small(questions.select("query_id", "question")), "query_id")
     if name == "llm_rerank":
         if model is None:
             raise ValueError("llm_rerank needs a model")

@@ -9,12 +9,13 @@ from .. import config
 from ..functions.embedding import hashing_embedder
 from ..operators import bm25, dense, fusion, generation, search
 from ..scale import broadcast_if_small
-from .catalog import query, table
+from .catalog import once, query, table
 
 DIM = 64
 K = config.TOP_K
 
 
+@once
 def corpus(spark, sf_dir) -> DataFrame:
     """Whole documents as chunks."""
     return table(spark, sf_dir, "documents").select(
@@ -22,6 +23,7 @@ def corpus(spark, sf_dir) -> DataFrame:
         F.col("text").alias("content_text"), "source")
 
 
+@once
 def questions(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("question"))
@@ -147,6 +149,7 @@ def hashed_index(spark, sf_dir) -> search.Index:
     return search.Index(chunks, bm25.fit(chunks), vectors)
 
 
+@once
 def embedded_questions(spark, sf_dir) -> DataFrame:
     return questions(spark, sf_dir).withColumn("embedding", hashing_embedder(DIM)(F.col("question")))
 
@@ -197,6 +200,7 @@ UNION ALL SELECT item_id, 1, substr(text, 1, length(text) // 2) FROM benchmark
 UNION ALL SELECT item_id, 2, substr(text, length(text) // 2 + 1) FROM benchmark"""
 
 
+@once
 def half_rewrites(spark, sf_dir) -> DataFrame:
     """Two rewrites per question: its first and its second half."""
     q = questions(spark, sf_dir)

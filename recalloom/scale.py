@@ -10,15 +10,27 @@ from pyspark.sql import functions as F
 from .config import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS
 
 
+def _measured(df: DataFrame) -> tuple[int, int]:
+    """Rows and bytes (as JSON, arrays aside) of the first ``BROADCAST_MAX_ROWS + 1`` rows.
+
+    Kept with the DataFrame object, so one table handed to several operators is read once.
+    """
+    if "_measured_size" not in df.__dict__:
+        flat = [F.col(f"`{c}`") for c, t in df.dtypes if not t.startswith("array")]
+        width = F.octet_length(F.to_json(F.struct(*flat))) if flat else F.lit(0)
+        rows, size = df.limit(BROADCAST_MAX_ROWS + 1).agg(F.count(F.lit(1)), F.sum(width)).first()
+        df.__dict__["_measured_size"] = (rows, size or 0)
+    return df.__dict__["_measured_size"]
+
+
 def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
              max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
-    """True when ``df`` holds at most ``max_rows`` rows and ``max_bytes`` as JSON text.
+    """True when ``df`` holds at most ``max_rows`` rows and ``max_bytes``.
 
-    Reads at most ``max_rows + 1`` rows, so the check itself stays cheap on a large input.
+    Reads at most one row more than ever allowed, so the check stays cheap on a large input.
     """
-    width = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
-    rows, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(width)).first()
-    return rows <= max_rows and (size or 0) <= max_bytes
+    rows, size = _measured(df)
+    return rows <= min(max_rows, BROADCAST_MAX_ROWS) and size <= max_bytes
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,

@@ -92,9 +92,11 @@ def test_frequent_keys_join_keeps_every_row(spark):
         assert sorted((r.k, r.v) for r in got.collect()) == sorted(r for r in rows if r[0] != "gone")
 
 
-def test_size_check(spark):
+def test_size_check(spark, monkeypatch):
     df = spark.range(10)
     assert is_small(df, 10) and not is_small(df, 9) and not is_small(df, 100, 20)
+    monkeypatch.setattr("recalloom.scale.BROADCAST_MAX_ROWS", 5)
+    assert not is_small(spark.range(6)) and not is_small(spark.range(6), 100) and is_small(spark.range(5))
     assert is_small(spark.range(0))
 
 
@@ -108,7 +110,7 @@ def test_dense_topk_matches_brute_force(spark, monkeypatch, blocks):
     q = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(qry)], "query_id int, embedding array<double>")
     monkeypatch.setattr(dense, "QUERY_BLOCK", 3)
     if blocks:
-        monkeypatch.setattr(dense, "is_small", lambda *a, **k: False)
+        monkeypatch.setattr(dense, "MAX_SHARED_QUERIES", 6)
     got = ranked(dense.dense_topk(v.repartition(5), q, 6, block_rows=25))
     unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
     sims = np.round(unit(qry) @ unit(vec).T, 6)
