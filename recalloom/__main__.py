@@ -128,9 +128,12 @@ def cmd_compare(spark, args):
     flags = spark.read.parquet(f"{args.scored}/recall").withColumnRenamed("pipeline", "strategy")
     best = scored.groupBy("strategy", "query_id").agg({"total": "max"}).withColumnRenamed("max(total)", "score")
     table = best.join(flags, ["strategy", "query_id"], "left").withColumnRenamed("single", "recall")
-    for name, df in compare.compare(table, args.a, args.b, scored, args.top).items():
+    report = compare.compare(table, args.a, args.b, scored, args.top)
+    for name, df in report.items():
         print(name)
         df.show(args.top, False)
+    if args.output:
+        results.save_workbook(report, args.output)
 
 
 def cmd_report_summary(spark, args):
@@ -207,6 +210,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--a", required=True)
     p.add_argument("--b", required=True)
     p.add_argument("--top", type=int, default=5)
+    p.add_argument("--output", default="")
     p = add("report-summary", cmd_report_summary)
     p.add_argument("dir")
     p.add_argument("--title", default="recall summary")

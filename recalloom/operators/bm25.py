@@ -142,13 +142,22 @@ def query_terms(queries: DataFrame, query_id: str = "query_id", text: str = "que
             .withColumn("qw", query_weight(F.col("qtf"))))
 
 
+def token_bucket(token: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
+
+
 @dataclass(frozen=True)
 class SparseIndex:
-    """A searchable corpus: token arrays fitted on the fly, or stored weighted postings."""
+    """A searchable corpus: token arrays fitted on the fly, or stored weighted postings.
+
+    Postings stored in ``buckets`` partitions by token are read only where a search has
+    terms.
+    """
 
     by: tuple[str, ...] = ()
     tokenised: DataFrame | None = None
     postings: DataFrame | None = None
+    buckets: int | None = None
     k1: float = config.BM25_K1
     b: float = config.BM25_B
 
@@ -162,7 +171,13 @@ class SparseIndex:
         hint = F.broadcast if small else (lambda df: df)
         terms = hint(terms)
         if self.postings is not None:
-            hit = self.postings.join(terms, "token", "left_semi")
+            postings = self.postings
+            if self.buckets and small:
+                # No more values than there are buckets.
+                wanted = [r[0] for r in terms.select(
+                    token_bucket(F.col("token"), self.buckets)).distinct().collect()]
+                postings = postings.where(F.col("bucket").isin(wanted))
+            hit = postings.join(terms, "token", "left_semi")
             return hit.select(*by, "chunk_id", "token", "weight").repartition("chunk_id")
         # Cut the occurrences to query tokens before the shuffle.
         hit = _occurrences(self.tokenised, [*by, "chunk_id", "dl"]).join(
@@ -202,7 +217,7 @@ class SparseIndex:
 def fit(chunks: DataFrame, text: str = "index_text", chunk_id: str = "chunk_id",
         by: Sequence[str] = (), tokenizer: Tokenizer = word_tokens,
         k1: float = config.BM25_K1, b: float = config.BM25_B) -> SparseIndex:
-    return SparseIndex(tuple(by), tokenise(chunks, text, chunk_id, by, tokenizer), None, k1, b)
+    return SparseIndex(tuple(by), tokenise(chunks, text, chunk_id, by, tokenizer), k1=k1, b=b)
 
 
 def sparse_scores(index: SparseIndex, queries: DataFrame, query_id: str = "query_id",

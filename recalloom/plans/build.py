@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import config
 from ..functions.embedding import Embedder
 from ..functions.models import Model
 from ..functions.text import Tokenizer, word_tokens
@@ -25,6 +26,9 @@ class Build:
     model: Model | None = None
     file_meta: DataFrame | None = None
     section_meta: DataFrame | None = None
+    # Partitions of the postings by token. A search reads those of its terms; more of them
+    # pay off when each still holds many files.
+    token_buckets: int = 16
 
 
 def index_key(kb: str, chunker: str, section_mode: str = "presplit", with_meta: bool = False) -> dict:
@@ -91,16 +95,18 @@ def build_index(docs: DataFrame, key: dict, setup: Build, force: bool = False) -
     tokenised = bm25.tokenise(chunks, tokenizer=setup.tokenizer)
     store.write("vocab", bm25.token_ids(bm25.vocabulary(tokenised)), key)
     postings = bm25.document_weights(tokenised, vocab=store._only(store.table("vocab"), key))
-    # Sorted by token inside range partitions, a search reads only row groups of its terms.
-    # The chunk id in the range splits a token that occurs everywhere over many files.
-    store.write("postings", postings.repartitionByRange("token", "chunk_id")
-                .sortWithinPartitions("token", "chunk_id"), key)
+    # A file holds a range of one bucket, sorted by token. The chunk id in the range splits
+    # a token that occurs everywhere over many files.
+    order = ("bucket", "token", "chunk_id")
+    bucketed = postings.withColumn("bucket", bm25.token_bucket(F.col("token"), setup.token_buckets))
+    store.write("postings", bucketed.repartitionByRange(*order).sortWithinPartitions(*order), key, "bucket")
     if setup.embed is not None:
         store.write("vectors", chunks.select(
             "chunk_id", setup.embed(F.col("index_text")).alias("embedding")), key)
     # Statistics come last: an index counts as built once they are there.
     store.write("stats", bm25.corpus_stats(tokenised).withColumns(
-        {"k1": F.lit(1.5), "b": F.lit(0.75)}), key)
+        {"k1": F.lit(config.BM25_K1), "b": F.lit(config.BM25_B),
+         "buckets": F.lit(setup.token_buckets)}), key)
     return store.count(key)
 
 

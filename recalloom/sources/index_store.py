@@ -83,19 +83,20 @@ class IndexStore:
         """Chunks in an index, 0 when there is none."""
         return self._only(self.table("chunks"), key).count() if self.has(key) else 0
 
-    def write(self, name: str, df: DataFrame, key: dict) -> None:
+    def write(self, name: str, df: DataFrame, key: dict, *inner: str) -> None:
         """Replace one index's part of a table; a repeated write leaves the same result."""
         if key["kb"][:1].isdigit():
             raise ValueError("the name of a knowledge base must not start with a digit")
         keyed = df.withColumns({c: F.lit(key[c]) for c in KEY})
         (keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(*KEY).parquet(f"{self.path}/{name}"))
+         .partitionBy(*KEY, *inner).parquet(f"{self.path}/{name}"))
 
     def open(self, key: dict, tokenizer=word_tokens) -> Index:
         vectors = None
         if self._exists("vectors") and not self._only(self.table("vectors"), key).isEmpty():
             vectors = self.read("vectors", key)
-        sparse = SparseIndex(postings=self.read("postings", key))
+        buckets = self.read("stats", key).first()["buckets"]
+        sparse = SparseIndex(postings=self.read("postings", key), buckets=buckets)
         return Index(self.read("chunks", key), sparse, vectors, tokenizer)
 
 

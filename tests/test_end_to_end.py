@@ -7,7 +7,7 @@ from recalloom.config import FullConfig, RecallConfig
 from recalloom.functions.embedding import hashing_embedder
 from recalloom.functions.models import RateLimited, chat_model, scripted_model, with_retry
 from recalloom.functions.text import TOKENIZERS
-from recalloom.operators import compare
+from recalloom.operators import bm25, compare, search
 from recalloom.plans import build, experiment, multi_query, registry
 from recalloom.sources import index_store, markdown, results, test_sets, xlsx
 from recalloom.streaming import ingest
@@ -50,7 +50,7 @@ def tests(spark):
 def setup(spark, tmp_path_factory):
     store = index_store.IndexStore(spark, str(tmp_path_factory.mktemp("store")))
     tok = TOKENIZERS["cjk_bigram"]
-    return build.Build(store, tok, hashing_embedder(32, tok))
+    return build.Build(store, tok, hashing_embedder(32, tok), token_buckets=3)
 
 
 def test_markdown_scan(docs):
@@ -72,6 +72,12 @@ def test_build_is_idempotent_and_prunes(spark, docs, setup):
     n = build.build_index(docs, key, setup)
     assert n == build.build_index(docs, key, setup) == build.build_index(docs, key, setup, force=True) == 5
     assert setup.store.knowledge_bases() == ["demo"] and setup.store.strategies("demo") == ["fixed_1100"]
+    index = setup.store.open(key, setup.tokenizer)
+    asked = spark.createDataFrame([("q", "住宿")], "query_id string, question string")
+    stored = search.retrieve(index, asked, "bm25", 3).collect()
+    fitted = bm25.sparse_topk(bm25.fit(index.chunks, tokenizer=setup.tokenizer), asked, 3,
+                              tokenizer=setup.tokenizer).collect()
+    assert len(stored) == 1 and [r.asDict() for r in stored] == [r.asDict() for r in fitted]
     vocab = setup.store.read("vocab", key)
     assert vocab.agg(F.max("token_id")).first()[0] == vocab.count() - 1
     with pytest.raises(LookupError):
