@@ -16,6 +16,7 @@ from ..functions.models import Model
 from ..functions.scoring import rerank_score
 from ..operators import generation, recall, scores, search
 from ..scale import broadcast_if_small, written
+from ..session import checkpoint_dir
 from ..sources.index_store import IndexStore
 from . import build
 
@@ -100,16 +101,20 @@ def pipeline_hits(pipe: dict, cfg: RecallConfig, questions: DataFrame, setup: bu
 RUN = ("pipeline", "top_k")
 
 
-def _keep(name: str, df: DataFrame, out: str | None, by=RUN) -> DataFrame:
-    return df if out is None else written(df, f"{out}/{name}", by)
+def keep(name: str, df: DataFrame, out: str | None, by=RUN) -> DataFrame:
+    """Go on from a written table below ``out``, or else from a checkpoint."""
+    if out is not None:
+        return written(df, f"{out}/{name}", by)
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
 
 
 def run_recall(cfg: RecallConfig, test_set: DataFrame, setup: build.Build, docs: DataFrame | None = None,
                model: Model | None = None, scorer=None, out: str | None = None) -> dict[str, DataFrame]:
     """A recall experiment: ``hits, recall, rates``, long over pipelines and k.
 
-    With ``out`` each table is written there and the next one made from it, so that the
-    search runs once; without it all three are lazy.
+    Each table is written below ``out``, or checkpointed without it, and the next one made
+    from it, so that the search runs once.
     """
     pipelines = expand(cfg)
     ensure_built(cfg, pipelines, docs, setup)
@@ -119,10 +124,10 @@ def run_recall(cfg: RecallConfig, test_set: DataFrame, setup: build.Build, docs:
         hits = part if hits is None else hits.unionByName(part, allowMissingColumns=True)
     runs = test_set.sparkSession.createDataFrame(
         [(p["label"], k) for p in pipelines for k in cfg.top_k_values], "pipeline string, top_k int")
-    hits = _keep("hits", hits, out)
-    flags = _keep("recall", recall.question_recall(
+    hits = keep("hits", hits, out)
+    flags = keep("recall", recall.question_recall(
         hits, test_set, threshold=cfg.threshold, charset=cfg.charset, runs=runs), out)
-    return {"hits": hits, "recall": flags, "rates": _keep("rates", recall.rollup(flags), out)}
+    return {"hits": hits, "recall": flags, "rates": keep("rates", recall.rollup(flags), out)}
 
 
 def run_full(cfg: FullConfig, test_set: DataFrame, setup: build.Build, answer_model: Model,
@@ -137,10 +142,10 @@ def run_full(cfg: FullConfig, test_set: DataFrame, setup: build.Build, answer_mo
     answers = generation.fill_unanswered(generation.generate_answers(
         test_set, report["hits"], answer_model, runs=cfg.runs), grid).withColumnRenamed(
         "pipeline", "strategy")
-    answers = _keep("answers", answers, out, ("strategy",))
+    answers = keep("answers", answers, out, ("strategy",))
     todo = answers.join(test_set.drop("gold_answer"), "query_id")
-    graded_now = _keep("scores", scores.grade(todo, score_model, graded), out, ("strategy",))
-    ranking = _keep("ranking", scores.score_rollup(graded_now), out, ())
+    graded_now = keep("scores", scores.grade(todo, score_model, graded), out, ("strategy",))
+    ranking = keep("ranking", scores.score_rollup(graded_now), out, ())
     return {**report, "answers": answers, "scores": graded_now, "ranking": ranking}
 
 

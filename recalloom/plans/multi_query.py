@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..config import RecallConfig
 from ..functions.models import Model
 from ..operators import enrich, recall, search
-from ..scale import written
 from . import build, experiment
 
 # --- fixed values -----------------------------------------------------------
@@ -56,7 +55,7 @@ def run_multi_query(cfg: RecallConfig, test_set: DataFrame, rewrites: DataFrame,
         "chunker string, top_k int, group string")
 
     def keep(name, df):
-        return df if out is None else written(df, f"{out}/{name}", ("chunker", "top_k"))
+        return experiment.keep(name, df, out, ("chunker", "top_k"))
 
     hits = keep("hits", hits)
     flags = keep("recall", recall.question_recall(hits, test_set, run, cfg.threshold, cfg.charset, runs=runs))
