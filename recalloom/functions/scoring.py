@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import json
 
 import pandas as pd
 from pyspark.sql import Column
@@ -26,19 +27,20 @@ REASON_KEY = "评分理由"
 # ----------------------------------------------------------------------------
 
 
-@F.pandas_udf(T.StringType())
-def _literal_to_json(replies: pd.Series) -> pd.Series:
+def _literal_to_json(reply: Column) -> Column:
     """A reply written as a Python literal, as JSON; null when it is not one."""
-    import json
-
-    def convert(reply):
+    def convert(text):
         try:
-            value = ast.literal_eval(reply)
+            value = ast.literal_eval(text)
             return json.dumps(value, ensure_ascii=False) if isinstance(value, dict) else None
         except Exception:
             return None
 
-    return replies.map(convert)
+    @F.pandas_udf(T.StringType())
+    def literal(replies: pd.Series) -> pd.Series:
+        return replies.map(convert)
+
+    return literal(reply)
 
 
 def _numbered(c: Column) -> Column:

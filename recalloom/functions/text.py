@@ -86,10 +86,14 @@ def keep_charset(c: Column, charset: str = "cjk") -> Column:
     raise ValueError(f"unknown charset {charset!r}")
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
+def nfkc(c: Column) -> Column:
     """Compatibility folding; Spark has no built-in for it. Meant for short names."""
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+    @F.pandas_udf(T.StringType())
+    def fold(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+    return fold(c)
 
 
 def normalise_file_ref(c: Column, fold: Callable[[Column], Column] = nfkc) -> Column:

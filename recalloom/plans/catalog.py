@@ -8,6 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from ..scale import spread
+from ..session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,7 +40,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         @wraps(fn)
         def fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
             _inputs.clear()
-            return fn(spark, sf_dir)
+            return fn(ship(spark), sf_dir)
 
         QUERIES[name] = fresh
         if sql is not None:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -30,6 +32,26 @@ def local_session(cores: int | str = "*", app: str = "recalloom", **conf: str) -
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    return ship(spark)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once per application.
+
+    Functions that run in Python tasks are looked up there by name. Where the package is
+    installed or passed with ``--py-files`` already, this changes nothing.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_recalloom_shipped", None) is None:
+        package = os.path.dirname(os.path.abspath(__file__))
+        archive = os.path.join(tempfile.mkdtemp(prefix="recalloom-"), "recalloom.zip")
+        with zipfile.ZipFile(archive, "w") as z:
+            for folder, _, files in os.walk(package):
+                for name in sorted(f for f in files if f.endswith(".py")):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("recalloom", os.path.relpath(path, package)))
+        sc.addPyFile(archive)
+        sc._recalloom_shipped = archive
     return spark
 
 

@@ -22,6 +22,8 @@ from pyspark.sql.datasource import (DataSource, DataSourceReader, DataSourceWrit
                                     WriterCommitMessage)
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..session import ship
+
 # --- fixed values -----------------------------------------------------------
 MAX_SHEET_ROWS = 1_048_576
 MAX_CELL_CHARS = 32_767
@@ -264,4 +266,4 @@ class XlsxSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    spark.dataSource.register(XlsxSource)
+    ship(spark).dataSource.register(XlsxSource)
