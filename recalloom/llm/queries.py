@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import exact_dedup
+from . import exact_dedup, line_dedup, url_filter, warc
+from .common import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -41,3 +42,68 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = exact_dedup.deduplicate(docs, exact_dedup.run_index(spark))
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+# The three replacements that end a line, hide and drop markup, as in line_dedup.
+_DUCK_LINES = r"""list_filter(list_transform(string_split(regexp_replace(regexp_replace(
+    regexp_replace(regexp_replace(regexp_replace(
+    regexp_replace(coalesce(html, ''), '[\x20\x09-\x0D]+', ' ', 'g'),
+    '(?is)<script\b[^>]*>.*?</script\s*>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', ' ', 'g'),
+    '(?s)<!--.*?-->', ' ', 'g'),
+    '(?i)</?(p|div|li|ul|ol|dl|dt|dd|h[1-6]|br|hr|tr|td|th|table|article|nav|aside|main|section|header|footer|title|head|body|html|form|blockquote|pre)\b[^>]*>', chr(10), 'g'),
+    '<[^>]*>', '', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '')"""
+_DUCK_HOST = r"translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query("op2_line_dedup", f"""
+WITH p AS (SELECT page_id, {_DUCK_HOST} AS host, {_DUCK_LINES} AS lines FROM pages),
+t AS (SELECT host, count(*) AS pages FROM p WHERE host <> '' GROUP BY host),
+l AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM p WHERE host <> '')
+      GROUP BY host, line),
+b AS (SELECT host, list(line) AS common FROM l JOIN t USING (host) WHERE n >= 2 AND n > 0.5 * pages GROUP BY host)
+SELECT page_id, host, len(lines)::BIGINT AS n_lines,
+       (len(lines) - len(list_filter(lines, lambda x: NOT list_contains(coalesce(common, []), x))))::BIGINT AS n_dropped,
+       array_to_string(list_filter(lines, lambda x: NOT list_contains(coalesce(common, []), x)), chr(10)) AS text
+FROM p LEFT JOIN b USING (host)""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.drop_boilerplate(table(spark, sf_dir, "pages"))
+    return cut.select(F.col("id").alias("page_id"), "host", F.size("lines").cast("bigint").alias("n_lines"),
+                      (F.size("lines") - F.size("kept")).cast("bigint").alias("n_dropped"),
+                      F.array_join("kept", "\n").alias("text"))
+
+
+RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+
+
+@query("op5_url_filter", f"""
+WITH u AS (SELECT page_id, {_DUCK_HOST} AS host,
+                  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+r(verdict, rule_host, rule_path) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'),
+                                            ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+m AS (SELECT u.*, r.*, row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(rule_host) DESC NULLS LAST, length(rule_path) DESC) AS place
+      FROM u LEFT JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+SELECT page_id, host, path, rule_host || rule_path AS rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE place = 1""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, RULES).drop("url")
+
+
+@query("op10_warc", r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hexed FROM pages),
+d AS (SELECT *, max(page_id) OVER (PARTITION BY payload) AS last FROM p)
+SELECT page_id, octet_length(encode(payload))::BIGINT AS payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((
+           ('0x' || substr(hexed, 1 + 5 * (i // 4), 5))::BIGINT) >> (15 - 5 * (i % 4))) & 31)::INT, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last THEN last END AS refers_to
+FROM d""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "archives")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    records = warc.read_archives(spark, path).where(F.col("kind") == "record")
+    response = F.col("record_type") == "response"
+    return records.select(
+        warc.page_of(F.col("record_id")).alias("page_id"),
+        F.when(response, F.octet_length("payload").cast("bigint")).otherwise(F.col("payload_length")).alias("payload_bytes"),
+        F.when(response, warc.sha1_base32(F.col("payload"))).otherwise(F.regexp_replace("payload_digest", "^sha1:", "")).alias("payload_digest"),
+        "record_type", warc.page_of(F.col("refers_to")).alias("refers_to"))
