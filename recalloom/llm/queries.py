@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import exact_dedup, line_dedup, url_filter, warc
+from . import bpe, exact_dedup, line_dedup, url_filter, warc
 from .common import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +108,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(response, F.octet_length("payload").cast("bigint")).otherwise(F.col("payload_length")).alias("payload_bytes"),
         F.when(response, warc.sha1_base32(F.col("payload"))).otherwise(F.regexp_replace("payload_digest", "^sha1:", "")).alias("payload_digest"),
         "record_type", warc.page_of(F.col("refers_to")).alias("refers_to"))
+
+
+@query("op4_bpe_round_trip")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, tokenizer = table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json")
+    encoded = bpe.encode(docs, tokenizer).withColumn("n_tokens", (F.octet_length("ids") / 4).cast("bigint"))
+    encoded = encoded.withColumn("ids_sha256", F.sha2("ids", 256))
+    decoded = bpe.decode(encoded, tokenizer)
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
