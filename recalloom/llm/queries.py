@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import bpe, exact_dedup, line_dedup, url_filter, warc
+from . import bpe, exact_dedup, line_dedup, packing, url_filter, warc
 from .common import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,14 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = encoded.withColumn("ids_sha256", F.sha2("ids", 256))
     decoded = bpe.decode(encoded, tokenizer)
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op3_best_fit_packing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(table(spark, sf_dir, "documents"))
+
+
+def packed_documents(docs: DataFrame) -> DataFrame:
+    tokens = packing.tokenise(docs, public_tokenizers.path("word_bpe_49k.json"))
+    pieces = packing.cut(tokens, 2048).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.pack(pieces, 2048).drop("gap")

@@ -51,7 +51,7 @@ class Words(dict):
     Emptied when it holds more than ``limit`` words: that costs time, never changes a result.
     """
 
-    def __init__(self, fill: Callable[[list[str], int], None], reset: Callable[[], None], limit: int = 300_000) -> None:
+    def __init__(self, fill: Callable[[list[str], int], None], reset: Callable[[], None], limit: int = 500_000) -> None:
         super().__init__()
         self.fill, self.reset, self.limit, self.new = fill, reset, limit, []
 
