@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import bpe, exact_dedup, line_dedup, packing, url_filter, warc
-from .common import scratch
+from . import bpe, exact_dedup, line_dedup, packing, toxicity, url_filter, warc
+from .common import crc_mod, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -128,3 +128,17 @@ def packed_documents(docs: DataFrame) -> DataFrame:
     tokens = packing.tokenise(docs, public_tokenizers.path("word_bpe_49k.json"))
     pieces = packing.cut(tokens, 2048).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return packing.pack(pieces, 2048).drop("gap")
+
+
+def toxicity_machine(spark: SparkSession, docs: DataFrame, sf_dir: str) -> bytes:
+    """Learned from labels of rows outside the held-out fold only."""
+    labels = table(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0)
+    return toxicity.train(toxicity.sample(docs, labels, "toxic"))
+
+
+@query("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity_machine(spark, docs, sf_dir))
+    return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
