@@ -129,8 +129,8 @@ class Encoder:
         self.split = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")") if vocabulary.special else None
         self.piece_ids, self.chunk_ids = Rows(np.uint32), Rows(np.uint32)
         self.odd = np.zeros(1 << 12, bool)
-        self.pieces = Words(self._new_pieces, self.piece_ids.clear)
-        self.chunks = Words(self._new_chunks, self.chunk_ids.clear)
+        self.pieces = Words(self._new_pieces, self.piece_ids.clear, 300_000)
+        self.chunks = Words(self._new_chunks, self.chunk_ids.clear, 300_000)
 
     def _new_pieces(self, pieces: list[str], first: int) -> None:
         ids, counts = self.vocabulary.merge([p.encode() for p in pieces])
