@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import bpe, exact_dedup, line_dedup, packing, toxicity, url_filter, warc
+from . import bpe, exact_dedup, langid, line_dedup, packing, toxicity, url_filter, warc
 from .common import crc_mod, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +142,15 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score(docs, toxicity_machine(spark, docs, sf_dir))
     return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def language_model(docs: DataFrame) -> bytes:
+    """Learned from rows outside the held-out fold only."""
+    return langid.train(langid.sample(docs.where(crc_mod("doc_id", 4) != 2)))
+
+
+@query("op6_language_id")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.identify(docs.drop("lang"), language_model(docs))
+    return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
