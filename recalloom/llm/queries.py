@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import bpe, exact_dedup, langid, line_dedup, packing, toxicity, url_filter, warc
+from . import ann, bpe, exact_dedup, langid, line_dedup, packing, toxicity, url_filter, warc
 from .common import crc_mod, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = langid.identify(docs.drop("lang"), language_model(docs))
     return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+# No SQL: the sums of another engine differ in the last place of a double.
+@query("op7_one_bit_neighbours")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, codec = ann.build(table(spark, sf_dir, "embeddings"))
+    return ann.search(index, codec, index.where(F.col("vec_id") % 50 == 0).select("vec_id", "vector"), 5)

@@ -19,11 +19,11 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, rows: np.n
     return flat[at], ends
 
 
-def windows(text: str, size: int = WINDOW_CHARS) -> Iterator[str]:
-    """The text in pieces of about ``size`` characters, cut at blanks (which stay with the right piece)."""
-    at = 0
+def windows(text, size: int = WINDOW_CHARS) -> Iterator:
+    """The text (str or bytes) in pieces of about ``size``, cut at blanks, which stay with the right piece."""
+    at, blank = 0, b" " if isinstance(text, bytes) else " "
     while len(text) - at > size:
-        cut = text.find(" ", at + size)
+        cut = text.find(blank, at + size)
         if cut < 0:
             break
         yield text[at:cut]
@@ -31,12 +31,12 @@ def windows(text: str, size: int = WINDOW_CHARS) -> Iterator[str]:
     yield text[at:] if at else text
 
 
-def packs(texts: Iterable[str | None], size: int = WINDOW_CHARS) -> Iterator[list[str]]:
-    """Whole texts (null as empty) in lists of about ``size`` characters together; a longer text alone."""
-    held: list[str] = []
+def packs(texts: Iterable, size: int = WINDOW_CHARS, empty="") -> Iterator[list]:
+    """Whole texts (null as ``empty``) in lists of about ``size`` together; a longer text alone."""
+    held: list = []
     chars = 0
     for text in texts:
-        held.append(text or "")
+        held.append(text or empty)
         chars += len(held[-1])
         if chars >= size:
             yield held
