@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import ann, bpe, exact_dedup, langid, line_dedup, packing, toxicity, url_filter, warc
+from . import ann, bpe, exact_dedup, jaccard_join, langid, line_dedup, packing, toxicity, url_filter, warc
 from .common import crc_mod, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +161,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, codec = ann.build(table(spark, sf_dir, "embeddings"))
     return ann.search(index, codec, index.where(F.col("vec_id") % 50 == 0).select("vec_id", "vector"), 5)
+
+
+@query("op8_jaccard_join")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
