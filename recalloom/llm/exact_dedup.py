@@ -93,17 +93,21 @@ def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
 def kept_rows(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns as they were."""
     d, p, n = (fresh_name([*docs.columns, "id"], c) for c in ("digest", "id", "n"))
-    # Of a pair of id and text all rows are alike in these two columns; n of them are asked for.
+    # Of a pair of id and text all rows are alike in these two columns: those of a dropped pair all
+    # go; of a pair that repeats one row stays, and such pairs are few.
     gone = (deduplicate(docs, index, id_col, text_col).groupBy("id", "digest")
             .agg(F.max("kept").alias("any"), F.count(F.lit(1)).alias("rows"))
             .where(~F.col("any") | (F.col("rows") > 1))
-            .select(F.col("id").alias(f"{p}_"), F.col("digest").alias(f"{d}_"), F.col("any").cast("int").alias(n)))
-    gone = broadcast_if_bounded(stored(gone, "dropped"))
+            .select(F.col("id").alias(f"{p}_"), F.col("digest").alias(f"{d}_"), F.col("any").alias(n)))
+    gone = stored(gone, "dropped")
+    repeated = gone.where(n).limit(1).count() > 0
+    gone = broadcast_if_bounded(gone)
     keyed = docs.withColumn(d, digest(F.col(f"`{text_col}`")))
     same = F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col(f"{p}_")) & (F.col(f"`{d}`") == F.col(f"{d}_"))
     once = keyed.join(gone, same, "left_anti").drop(d)
-    # Repeated rows: the first of each pair by its other columns, a few rows only.
-    again = keyed.join(gone.where(F.col(n) == 1), same, "left_semi").dropDuplicates([id_col, d]).drop(d)
+    if not repeated:
+        return once
+    again = keyed.join(gone.where(n), same, "left_semi").dropDuplicates([id_col, d]).drop(d)
     return once.unionByName(again)
 
 

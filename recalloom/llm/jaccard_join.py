@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_bounded, stored
+from .common import broadcast_if_bounded, fresh_name, stored
 from .ragged import Words, packs, windows
 
 WORDS, SIMILAR = 5, 80
@@ -314,3 +314,19 @@ def _named(space: _Space, rows: DataFrame) -> DataFrame:
     least = some.groupBy("root").agg(F.min("id").alias("component_id"))
     named = some.join(least, "root").select("id", F.col("n").alias("n_shingles"), "component_id")
     return named.unionByName(rows.where("node is null").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with one of each component, that of the smallest id; a null id is the largest.
+
+    Rows are told apart by number, so repeated and missing ids do no harm.
+    """
+    row = fresh_name([*docs.columns, "id", "component_id"], "row")
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = join(numbered, row, text_col).select(F.col("id").alias(row), "component_id")
+    ids = numbered.select(row, F.col(f"`{id_col}`").alias("id"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", F.col(row).alias("at"))
+    with_ids = stored(found.join(ids, row).select("component_id", "id", row), "found")
+    kept = with_ids.groupBy("component_id").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    dropped = with_ids.join(kept, "component_id").where(F.col(row) != F.col("first.at")).select(row)
+    return numbered.join(broadcast_if_bounded(stored(dropped, "dropped")), row, "left_anti").drop(row)
