@@ -8,14 +8,19 @@ when their distance is at most ``1 - SIMILAR / 100``. Texts of equal sets are on
    level are therefore single shingles: a text lies in the regions of its rarest shingles, as
    many as two linked sets must have one in common among. Rareness comes from a sketch of counts
    over all texts; it only orders shingles, so it can't change the result.
-2. Within a region a text is the pivot and every member's distance to it is measured. Members
-   that are linked to it are one component, whatever lies between them.
+2. Within a region a text is the pivot, and the distance to it is measured for every member that
+   could be linked to it by size and by place: two sets whose first common shingle is this one have
+   no more in common than either has from there on. Members that are linked to the pivot are one
+   component, whatever lies between them.
 3. Regions with several components left go on without their pivots. Small ones are compared pair
-   by pair, where distances to the pivot differ by no more than the link distance (the triangle
-   inequality) and components differ. Large ones get several pivots; each member goes to the cell of its nearest
-   pivot and, as a boundary text, to every cell whose pivot is at most twice the link distance
-   farther, and the cells go through the same step. Any two linked texts meet in the cell of
-   one of them, so no link between components is lost. Pivots drop out, so this ends.
+   by pair, where size, place, components and the triangle inequality allow a link: distances to
+   the pivot that differ by more than the link distance rule it out. Large ones get several
+   pivots, and Voronoi cells: each member goes to the cell of its nearest pivot and, as a
+   boundary text, to every cell whose pivot is at most twice the link distance farther. Any two
+   linked texts meet in the cell of one of them. The cells go through the same step. Where so
+   many texts are boundary texts that cells hold more than before, the region stays whole and
+   gets twice as many pivots. Pivots have been compared with all members and drop out, so this
+   ends.
 
 Links within a component are not listed; the components are exact.
 
@@ -42,8 +47,8 @@ WORDS, SIMILAR = 5, 80
 # Counters of the sketch, as a power of two: one megabyte from each task.
 SKETCH_BITS = 18
 _SLICE = 1 << 12
-# Regions up to so many members are compared pair by pair; larger ones get PIVOTS pivots a level.
-LEAF, PIVOTS = 24, 8
+# Regions up to so many members are compared pair by pair; larger ones get PIVOTS pivots, then twice as many.
+LEAF, PIVOTS = 64, 16
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
@@ -138,10 +143,11 @@ def sketch(found: DataFrame) -> np.ndarray:
 
 
 def prefixes(texts: DataFrame, order: np.ndarray) -> DataFrame:
-    """(region, node, n): each node in the regions of its rarest shingles, once per task at least.
+    """(region, node, n, rest): each node in the regions of its rarest shingles, once per task at least.
 
     Of sets of n shingles with similarity s any two share one among their first n - ceil(s n) + 1
-    in any order that both follow. Ties at the end are all taken.
+    in any order that both follow. Ties at the end are all taken. ``rest`` counts the shingles
+    from this one on, ties with it included.
     """
     shared = texts.sparkSession.sparkContext.broadcast(order)
 
@@ -149,7 +155,7 @@ def prefixes(texts: DataFrame, order: np.ndarray) -> DataFrame:
         shingler, order, seen = _shingler(), shared.value, set()
         for batch in batches:
             for some in packs(batch.column(2).to_pylist(), empty=b""):
-                regions, nodes, sizes = [], [], []
+                regions, nodes, sizes, rests = [], [], [], []
                 for s in shingler.sets(some):
                     node = _node(s)
                     if node is None or node in seen:
@@ -159,16 +165,18 @@ def prefixes(texts: DataFrame, order: np.ndarray) -> DataFrame:
                     seen.add(node)
                     key = order[s >> np.uint64(64 - SKETCH_BITS)] << np.uint64(40) | s & np.uint64((1 << 40) - 1)
                     first = len(s) - -(-SIMILAR * len(s) // 100)
-                    regions.append(s[key <= np.partition(key, first)[first]])
+                    chosen = np.flatnonzero(key <= np.partition(key, first)[first])
+                    regions.append(s[chosen])
+                    rests.append(len(s) - np.searchsorted(np.sort(key[chosen]), key[chosen]))
                     nodes.append(node)
                     sizes.append(len(s))
                 if regions:
                     each = [len(r) for r in regions]
                     yield pa.RecordBatch.from_arrays([
                         pa.array(np.concatenate(regions).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), each)),
-                        pa.array(np.repeat(np.array(sizes, np.int64), each))], names=["region", "node", "n"])
+                        pa.array(np.repeat(np.array(sizes, np.int64), each)), pa.array(np.concatenate(rests))], names=["region", "node", "n", "rest"])
 
-    return texts.mapInArrow(run, "region bigint, node bigint, n bigint")
+    return texts.mapInArrow(run, "region bigint, node bigint, n bigint, rest bigint")
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -209,6 +217,7 @@ class _Space:
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, names: DataFrame) -> None:
         self.texts, self.names = _texts(docs, id_col, text_col), names
         self.measured: DataFrame | None = None
+        self.sets: DataFrame | None = None
         self.roots: DataFrame | None = None
 
     def measure(self, pairs: DataFrame) -> None:
@@ -218,10 +227,17 @@ class _Space:
             pairs = pairs.join(self.measured, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        if self.sets is not None:
+            asked = asked.join(self.sets, "node", "left_anti")
         # One text of each node is read again; nothing of the others has been kept.
         one = stored(self.names.join(asked, "node", "left_semi").groupBy("node").agg(F.min("text_hash").alias("text_hash")).select("text_hash").distinct(), "asked")
-        texts = self.texts.join(broadcast_if_bounded(one), "text_hash", "left_semi").select("id", "text_hash", "text")
-        sets = stored(shingle_sets(texts).groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+        if one.limit(1).count():
+            texts = self.texts.join(broadcast_if_bounded(one), "text_hash", "left_semi").select("id", "text_hash", "text")
+            sets = stored(shingle_sets(texts).groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+            self.sets = sets if self.sets is None else self.sets.unionByName(sets)
+        if self.sets is None:
+            return
+        sets = self.sets
         b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
         a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
         common = F.size(F.array_intersect("of_a", "of_b"))
@@ -243,17 +259,18 @@ def _pair(x: str, y: str):
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
-def _may_link(n: str, m: str):
-    return 100 * F.least(n, m) >= SIMILAR * F.greatest(n, m)
+def _may_link(n: str, m: str, rest: str, other: str):
+    """By their sizes, and by how much they have from the common shingle on, which is the most they share."""
+    least = F.least(rest, other)
+    return (100 * F.least(n, m) >= SIMILAR * F.greatest(n, m)) & (100 * least >= SIMILAR * (F.col(n) + F.col(m) - least))
 
 
 def resolve(space: _Space, regions: DataFrame) -> None:
-    """Compare the members (region, node, n, distance) of stored regions until each is one component
-    or has no pair left. ``distance`` is that to the region's last pivot, which is no member."""
+    """Compare the members (region, node, n, rest, distance) of stored regions until each is one
+    component or has no pair left. ``distance`` is that to a former pivot, if it was measured."""
     reach, slack = 1 - SIMILAR / 100, 1e-9
     level = 0
     while True:
-        level += 1
         members = space.with_roots(regions)
         state = (members.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
                  .where("low < high").select("region", "size"))
@@ -263,21 +280,29 @@ def resolve(space: _Space, regions: DataFrame) -> None:
         small, large = open_members.where(F.col("size") <= LEAF), open_members.where(F.col("size") > LEAF)
         # At most LEAF partners each.
         x, y = small.alias("x"), small.alias("y")
+        near_enough = F.abs(F.col("x.distance") - F.col("y.distance")) <= reach + slack
         pairs = (x.join(y, F.col("x.region") == F.col("y.region"))
-                 .where((F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _may_link("x.n", "y.n")
-                        & (F.abs(F.col("x.distance") - F.col("y.distance")) <= reach + slack))
+                 .where((F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
+                        & _may_link("x.n", "y.n", "x.rest", "y.rest") & F.coalesce(near_enough, F.lit(True)))
                  .select(*_pair("x.node", "y.node")))
         rank = Window.partitionBy("region").orderBy(F.xxhash64("node", F.lit(level)), "node")
-        pivots = large.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= PIVOTS).select("region", F.col("node").alias("pivot"))
+        pivots = large.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= PIVOTS << level).select("region", F.col("node").alias("pivot"))
         pivots = stored(pivots, "pivots")
         to_pivot = large.join(pivots, "region").where("node <> pivot")
         space.measure(pairs.unionByName(to_pivot.select(*_pair("node", "pivot"))))
-        near = (to_pivot.join(pivots.select("region", F.col("pivot").alias("node")), ["region", "node"], "left_anti")
-                .select("region", "node", "n", "pivot", *_pair("node", "pivot"))
+        if not pivots.limit(1).count():
+            return
+        rest = (to_pivot.join(pivots.select("region", F.col("pivot").alias("node")), ["region", "node"], "left_anti")
+                .select("region", "node", "n", "rest", "size", "pivot", *_pair("node", "pivot"))
                 .join(space.measured.drop("linked"), ["a", "b"]))
         home = F.min("distance").over(Window.partitionBy("region", "node"))
-        cells = near.withColumn("home", home).where(F.col("distance") <= F.col("home") + 2 * reach + slack)
-        regions = stored(cells.select(F.xxhash64("region", "pivot").alias("region"), "node", "n", "distance"), "cells")
+        cells = stored(rest.withColumn("home", home).where(F.col("distance") <= F.col("home") + 2 * reach + slack), "cells")
+        divided = cells.groupBy("region").agg((F.count(F.lit(1)) <= F.first("size")).alias("divided"))
+        cells = cells.join(divided, "region")
+        whole = cells.where("not divided").groupBy("region", "node").agg(
+            F.first("n").alias("n"), F.first("rest").alias("rest"), F.lit(None).cast("double").alias("distance"))
+        regions = stored(cells.where("divided").select(F.xxhash64("region", "pivot").alias("region"), "node", "n", "rest", "distance").unionByName(whole), "regions")
+        level += 1
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -288,19 +313,24 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     # One shuffle by region; the windows use its partitioning. A node comes at most once per task.
     placed = prefixes(texts, sketch(found)).repartition("region").distinct()
     within = Window.partitionBy("region")
-    placed = (placed.withColumn("pivot", F.min(F.struct("node", "n")).over(within)).withColumn("size", F.count(F.lit(1)).over(within))
-              .where("size > 1").select("region", "node", "n", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("m"), "size"))
+    placed = (placed.withColumn("pivot", F.min(F.struct("node", "n", "rest")).over(within)).withColumn("size", F.count(F.lit(1)).over(within))
+              .where("size > 1").select("region", "node", "n", "rest", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("m"),
+                                        F.col("pivot.rest").alias("pivot_rest"), "size"))
     placed = stored(placed.where("node <> pivot"), "regions")
     space = _Space(docs, id_col, text_col, rows.where("node is not null"))
-    # Regions of three and more need all distances to the pivot; of regions with the same members one is kept.
+    possible = _may_link("n", "m", "rest", "pivot_rest")
+    # Regions of three and more go on; of those with the same members one is kept, with the most each has left.
     several = placed.where("size > 2")
     same = several.groupBy("region").agg(F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members"), F.first("pivot").alias("pivot"), F.first("size").alias("size"))
-    one = same.groupBy("members", "pivot", "size").agg(F.min("region").alias("region")).select("region")
-    several = stored(several.join(one, "region", "left_semi"), "larger-regions")
-    space.measure(placed.where((F.col("size") == 2) & _may_link("n", "m")).select(*_pair("node", "pivot"))
-                  .unionByName(several.select(*_pair("node", "pivot"))))
-    members = several.select("region", "node", "n", *_pair("node", "pivot")).join(space.measured.drop("linked"), ["a", "b"])
-    resolve(space, stored(members.select("region", "node", "n", "distance"), "members"))
+    alike = same.withColumn("kept", F.min("region").over(Window.partitionBy("members", "pivot", "size"))).select("region", "kept")
+    several = several.join(alike, "region").groupBy(F.col("kept").alias("region"), "node", "pivot").agg(F.first("n").alias("n"), F.max("rest").alias("rest"))
+    several = stored(several, "larger-regions")
+    space.measure(placed.where(possible).select(*_pair("node", "pivot")))
+    members = several.select("region", "node", "n", "rest", *_pair("node", "pivot"))
+    if space.measured is None:
+        return _named(space, rows)
+    members = members.join(space.measured.drop("linked"), ["a", "b"], "left")
+    resolve(space, stored(members.select("region", "node", "n", "rest", "distance"), "members"))
     return _named(space, rows)
 
 
