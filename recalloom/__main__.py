@@ -17,7 +17,7 @@ from .functions.text import TOKENIZERS
 from .operators import compare, prepare, reports, scores
 from .plans import build, experiment, multi_query, registry
 from .plans.service import SearchService
-from .session import local_session, ship
+from .session import session
 from .sources import demo, markdown, results, test_sets
 from .sources.index_store import IndexStore
 
@@ -227,7 +227,7 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
-    spark = ship(SparkSession.getActiveSession() or local_session())
+    spark = session()
     args.fn(spark, args)
     return 0
 

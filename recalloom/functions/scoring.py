@@ -60,16 +60,20 @@ def _reason_of(json_text: Column, strip) -> Column:
 
 
 def score_reason(reply: Column, literals: bool = True) -> Column:
-    """Reason text of a grading reply: JSON, else a Python literal, else numbered items."""
-    from .text import strip
+    """Reason text of a grading reply: JSON, else a Python literal, else numbered items.
 
-    is_json = F.try_parse_json(reply).isNotNull()
+    Both are also found between code fences or other words around the outermost braces.
+    """
+    from .text import fenced_json, strip
+
+    inner = fenced_json(reply)
+    reply_json = F.when(F.try_parse_json(reply).isNotNull(), reply).when(F.try_parse_json(inner).isNotNull(), inner)
     fallback = _numbered(reply)
     if literals:
-        as_json = _literal_to_json(reply)
+        as_json = _literal_to_json(F.when(inner != "", inner).otherwise(reply))
         fallback = F.when(as_json.isNotNull(), _reason_of(as_json, strip)).otherwise(fallback)
     return F.when(F.coalesce(reply, F.lit("")) == "", F.lit("")).when(
-        is_json, _reason_of(reply, strip)).otherwise(fallback)
+        reply_json.isNotNull(), _reason_of(reply_json, strip)).otherwise(fallback)
 
 
 def score_columns(reason: Column, strict: bool = False) -> dict[str, Column]:

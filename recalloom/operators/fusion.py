@@ -23,15 +23,19 @@ def _ranked(fused: DataFrame, query: Sequence[str], key: str, k: int | None) ->
 def _combine(routes: DataFrame, query: Sequence[str], key: str, value, how) -> DataFrame:
     """One row per query and key. The representative is the hit with the best own score;
     ``first_route`` and ``first_rank`` keep first-seen order for ties."""
-    rest = [c for c in routes.columns if c not in (*query, key)]
-    usable = routes.where(F.coalesce(F.col(key).cast("string"), F.lit("")) != "")
+    rest = [c for c in routes.columns if c not in query]
+    same = F.when(F.coalesce(F.col(key).cast("string"), F.lit("")) != "", F.struct(F.lit(0).alias("by"), F.col(key).cast("string").alias("key")))
+    if key != "chunk_id" and "chunk_id" in routes.columns:
+        # A hit with a blank key stands for itself.
+        same = F.coalesce(same, F.struct(F.lit(1).alias("by"), F.col("chunk_id").cast("string").alias("key")))
+    usable = routes.withColumn("_same", same).where("_same is not null")
     seen = F.min(F.struct("route", "rank"))
     best = F.max_by(F.struct(*rest), F.struct(
         F.coalesce("score", F.lit(0.0)), -F.col("route"), -F.col("rank")))
-    fused = usable.withColumn("_v", value).groupBy(*query, key).agg(
+    fused = usable.withColumn("_v", value).groupBy(*query, "_same").agg(
         F.round(how("_v"), config.SCORE_DECIMALS).alias("fusion_score"),
         seen.alias("_seen"), best.alias("_best"))
-    return fused.select(*query, key, "fusion_score", F.col("_seen.route").alias("first_route"),
+    return fused.select(*query, "fusion_score", F.col("_seen.route").alias("first_route"),
                         F.col("_seen.rank").alias("first_rank"),
                         *[F.col(f"_best.{c}").alias(c) for c in rest if c not in ("route", "rank")])
 

@@ -29,16 +29,17 @@ def _with_coverage(hits: DataFrame, run: list[str], charset: str, measure: str,
     if measure == "verbatim":
         return hits.withColumn("coverage", verbatim_coverage(
             F.col("gold_answer"), F.col("content_text")))
-    pair = ["query_id", "chunk_id"]
-    fixed = ["content_text", "source", "gold_answer", "_ref"]
-    per_run = F.struct(*run, "rank", *[c for c in ("score",) if c in hits.columns])
-    once = _spread_work(hits, pair).groupBy(*pair).agg(
+    # By the text itself: indexes of different chunkers give the same id to different texts.
+    pair = ["query_id", "_text"]
+    fixed = ["content_text", "gold_answer", "_ref"]
+    per_run = F.struct(*run, "rank", "chunk_id", "source", *[c for c in ("score",) if c in hits.columns])
+    once = _spread_work(hits.withColumn("_text", F.sha2("content_text", 256)), pair).groupBy(*pair).agg(
         *[F.first(c).alias(c) for c in fixed], F.collect_list(per_run).alias("_runs"))
     measured = once.withColumn("coverage", coverage(
         keep_charset(F.col("gold_answer"), charset), keep_charset(F.col("content_text"), charset),
         autojunk, threshold))
     return measured.select(*pair, *fixed, "coverage", F.explode("_runs").alias("_r")).select(
-        *pair, *fixed, "coverage", "_r.*")
+        "query_id", *fixed, "coverage", "_r.*")
 
 
 def first_hit(flag: Column, rank: Column) -> Column:

@@ -50,10 +50,12 @@ def retrieve(index: Index, queries: DataFrame, retriever: str = "hybrid",
     def dense(n):
         return dense_topk(index.vectors, queries, n)
 
-    if retriever == "vector" or index.sparse is None:
-        return dense(k)
     if retriever == "bm25":
+        if index.sparse is None:
+            raise ValueError("the index has no sparse side for a bm25 search")
         return sparse(k)
+    if retriever == "vector" or index.sparse is None:
+        return dense(k)
     wide = k * config.PREFETCH_FACTOR
     lists = [dense(wide), sparse(wide)] if index.vectors is not None else [sparse(wide)]
     routes = fusion.union_routes(*lists)

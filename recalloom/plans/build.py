@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -85,28 +86,30 @@ def build_index(docs: DataFrame, key: dict, setup: Build, force: bool = False) -
     """Build one index unless it exists; returns its number of chunks.
 
     Each table is written from the chunks written before it, so chunking and embedding run
-    once. A repeated build replaces its own partitions and nothing else.
+    once. All of them belong to a version of this build; the store goes on serving the
+    version before until the last table is written, and from then on only the new one.
     """
     store = setup.store
     if not force and store.has(key):
         return store.count(key)
-    store.write("chunks", chunk_documents(docs, key, setup), key)
-    chunks = store._only(store.table("chunks"), key)
+    version = f"v{uuid.uuid4().hex}"
+    store.write("chunks", chunk_documents(docs, key, setup), key, version)
+    chunks = store.read_version("chunks", key, version)
     tokenised = bm25.tokenise(chunks, tokenizer=setup.tokenizer)
-    store.write("vocab", bm25.token_ids(bm25.vocabulary(tokenised)), key)
-    postings = bm25.document_weights(tokenised, vocab=store._only(store.table("vocab"), key))
+    store.write("vocab", bm25.token_ids(bm25.vocabulary(tokenised)), key, version)
+    postings = bm25.document_weights(tokenised, vocab=store.read_version("vocab", key, version))
     # A file holds a range of one bucket, sorted by token. The chunk id in the range splits
     # a token that occurs everywhere over many files.
     order = ("bucket", "token", "chunk_id")
     bucketed = postings.withColumn("bucket", bm25.token_bucket(F.col("token"), setup.token_buckets))
-    store.write("postings", bucketed.repartitionByRange(*order).sortWithinPartitions(*order), key, "bucket")
+    store.write("postings", bucketed.repartitionByRange(*order).sortWithinPartitions(*order), key, version, "bucket")
     if setup.embed is not None:
         store.write("vectors", chunks.select(
-            "chunk_id", setup.embed(F.col("index_text")).alias("embedding")), key)
-    # Statistics come last: an index counts as built once they are there.
+            "chunk_id", setup.embed(F.col("index_text")).alias("embedding")), key, version)
     store.write("stats", bm25.corpus_stats(tokenised).withColumns(
         {"k1": F.lit(config.BM25_K1), "b": F.lit(config.BM25_B),
-         "buckets": F.lit(setup.token_buckets)}), key)
+         "buckets": F.lit(setup.token_buckets)}), key, version)
+    store.switch(key, version)
     return store.count(key)
 
 

@@ -280,14 +280,17 @@ def score_breakdown(spark, sf_dir):
 
 @query("score_reply_parse", f"WITH {REASONS} SELECT event_id, reason FROM rs")
 def score_reply_parse(spark, sf_dir):
-    """Reasons read back from model replies: JSON lists, and Python literals for one strategy."""
+    """Reasons read back from model replies: JSON lists, Python literals for one strategy, and for others
+    the JSON between code fences or behind some words."""
     from ..functions.scoring import REASON_KEY, score_reason
 
     src = reasons(spark, sf_dir)
     items = F.split("reason", "\n")
     as_json = F.to_json(F.struct(items.alias(REASON_KEY), F.lit(50).alias("总分")))
     as_literal = F.concat(F.lit("{'" + REASON_KEY + "': ['"), F.array_join(items, "', '"), F.lit("']}"))
-    reply = F.when(F.col("strategy") == "error", as_literal).otherwise(as_json)
+    fenced = F.concat(F.lit("```json\n"), as_json, F.lit("\n```"))
+    reply = (F.when(F.col("strategy") == "error", as_literal).when(F.col("strategy") == "purchase", fenced)
+             .when(F.col("strategy") == "click", F.concat(F.lit("My grades: "), as_json)).otherwise(as_json))
     return src.select("event_id", reply.alias("reply")).select(
         "event_id", score_reason(F.col("reply")).alias("reason"))
 

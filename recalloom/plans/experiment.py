@@ -47,8 +47,8 @@ def ensure_built(cfg: RecallConfig, pipelines: list[dict], docs: DataFrame | Non
 
 
 def rerank(hits: DataFrame, questions: DataFrame, name: str, model: Model | None = None,
-           scorer: Callable | None = None) -> DataFrame:
-    """Apply a named reranker to full hits."""
+           scorer: Callable | None = None, top_n: int = config.RERANK_TOP_N) -> DataFrame:
+    """Apply a named reranker to full hits; a cross-encoder keeps ``top_n`` of them."""
     if name == "direct":
         return hits
     asked = hits.join(broadcast_if_small(questions.select("query_id", "question")), "query_id")
@@ -62,7 +62,7 @@ def rerank(hits: DataFrame, questions: DataFrame, name: str, model: Model | None
             "question", "old_rank", "rerank_score")
     if name == "bge_reranker":
         score = (scorer or search.overlap_score)(F.col("question"), F.col("content_text"))
-        return search.relevance_order(asked, score, config.RERANK_TOP_N).drop(
+        return search.relevance_order(asked, score, top_n).drop(
             "question", "old_rank", "rerank_score")
     raise ValueError(f"unknown reranker {name!r}")
 
@@ -93,7 +93,8 @@ def pipeline_hits(pipe: dict, cfg: RecallConfig, questions: DataFrame, setup: bu
     by_k = full.withColumn("query_id", F.struct("query_id", "top_k"))
     by_q = questions.select(F.explode(F.array(*[F.struct("query_id", F.lit(k).alias("top_k"))
                                                 for k in ks])).alias("query_id"), "question")
-    done = rerank(by_k.drop("top_k"), by_q, pipe["reranker"], model, scorer)
+    # A list holds k hits: recall at k is measured on all of them.
+    done = rerank(by_k.drop("top_k"), by_q, pipe["reranker"], model, scorer, max(config.RERANK_TOP_N, *ks))
     return done.withColumn("top_k", F.col("query_id.top_k")).withColumn(
         "query_id", F.col("query_id.query_id"))
 

@@ -35,6 +35,20 @@ def local_session(cores: int | str = "*", app: str = "recalloom", **conf: str) -
     return ship(spark)
 
 
+def session(app: str = "recalloom") -> SparkSession:
+    """The session of the command line: the submitter's where one submits, else a local one."""
+    if SparkSession.getActiveSession() is not None:
+        return ship(SparkSession.getActiveSession())
+    if "PYSPARK_GATEWAY_PORT" not in os.environ:
+        return local_session(app=app)
+    # Started by spark-submit, which has settled master, memory and partitions.
+    spark = SparkSession.builder.appName(app).getOrCreate()
+    for key, value in _DEFAULTS.items():
+        if not spark.sparkContext.getConf().contains(key):
+            spark.conf.set(key, value)
+    return ship(spark)
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package to the executors, once per application.
 

@@ -29,6 +29,9 @@ def split_collection(name: Column) -> tuple[Column, Column]:
 # An index is named by these columns; every table of the store is partitioned by them.
 KEY = ("kb", "chunker", "section_mode", "with_meta")
 TABLES = ("chunks", "postings", "vocab", "stats", "vectors")
+# A build writes all tables under a version of its own. This table says which version of an
+# index is read: its last row for the index. It is written last, and only ever appended to.
+CURRENT = "current"
 
 
 class IndexStore:
@@ -49,11 +52,33 @@ class IndexStore:
 
     def keys(self) -> DataFrame:
         """The indexes there are; only partition names and footers are read."""
-        if not self._exists("stats"):
-            return self.spark.createDataFrame([], "kb string, chunker string, section_mode string, "
-                                                  "with_meta boolean")
-        names = [F.col(c).cast("boolean" if c == "with_meta" else "string").alias(c) for c in KEY]
-        return self.table("stats").select(*names).distinct()
+        return self._current().select(*KEY)
+
+    def _switches(self) -> DataFrame:
+        schema = "kb string, chunker string, section_mode string, with_meta boolean, version string, place bigint"
+        if not self._exists(CURRENT):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{CURRENT}")
+
+    def _current(self) -> DataFrame:
+        last = self._switches().groupBy(*KEY).agg(F.max_by("version", "place").alias("version"))
+        return last.where("version is not null")
+
+    def version(self, key: dict) -> str | None:
+        """The version that is read of an index; null when there is none."""
+        row = self._only(self._current(), key).first()
+        return row["version"] if row else None
+
+    def switch(self, key: dict, version: str | None) -> None:
+        """Read this version of an index from now on; without one the index is dropped."""
+        place = (self._switches().agg(F.max("place")).first()[0] or 0) + 1
+        row = self.spark.createDataFrame([(*[key[c] for c in KEY], version, place)], self._switches().schema)
+        row.coalesce(1).write.mode("append").parquet(f"{self.path}/{CURRENT}")
+
+    def drop(self, key: dict) -> None:
+        """Serve an index no longer. Its files stay until the store's folder is tidied."""
+        if self.has(key):
+            self.switch(key, None)
 
     def knowledge_bases(self) -> list[str]:
         return sorted(r[0] for r in self.keys().select("kb").distinct().collect())
@@ -75,26 +100,31 @@ class IndexStore:
         return df
 
     def read(self, name: str, key: dict) -> DataFrame:
-        if not self.has(key):
+        version = self.version(key)
+        if version is None:
             raise LookupError(f"no index {key}; build it first")
-        return self._only(self.table(name), key).drop(*KEY)
+        return self.read_version(name, key, version)
+
+    def read_version(self, name: str, key: dict, version: str) -> DataFrame:
+        return self._only(self.table(name), key).where(F.col("version") == version).drop(*KEY, "version")
 
     def count(self, key: dict) -> int:
         """Chunks in an index, 0 when there is none."""
-        return self._only(self.table("chunks"), key).count() if self.has(key) else 0
+        return self.read("chunks", key).count() if self.has(key) else 0
 
-    def write(self, name: str, df: DataFrame, key: dict, *inner: str) -> None:
-        """Replace one index's part of a table; a repeated write leaves the same result."""
+    def write(self, name: str, df: DataFrame, key: dict, version: str, *inner: str) -> None:
+        """Write one version's part of a table; a repeated write leaves the same result."""
         if key["kb"][:1].isdigit():
             raise ValueError("the name of a knowledge base must not start with a digit")
-        keyed = df.withColumns({c: F.lit(key[c]) for c in KEY})
+        keyed = df.withColumns({**{c: F.lit(key[c]) for c in KEY}, "version": F.lit(version)})
         (keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(*KEY, *inner).parquet(f"{self.path}/{name}"))
+         .partitionBy(*KEY, "version", *inner).parquet(f"{self.path}/{name}"))
 
     def open(self, key: dict, tokenizer=word_tokens) -> Index:
         vectors = None
-        if self._exists("vectors") and not self._only(self.table("vectors"), key).isEmpty():
-            vectors = self.read("vectors", key)
+        if self._exists("vectors"):
+            found = self.read("vectors", key)
+            vectors = None if found.isEmpty() else found
         buckets = self.read("stats", key).first()["buckets"]
         sparse = SparseIndex(postings=self.read("postings", key), buckets=buckets)
         return Index(self.read("chunks", key), sparse, vectors, tokenizer)
