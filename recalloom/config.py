@@ -25,7 +25,6 @@ SUMMARY_FALLBACK_CHARS = 80
 HEADER_SPLIT_CHARS = 1500
 HEADER_SPLIT_OVERLAP = 150
 FALLBACK_SPLIT_CHARS = 3000
-ANSWER_MAX_CHARS = 8000
 REWRITES_PER_QUESTION = 3
 REWRITE_MIN_CHARS = 4
 INDEX_LINE_MIN_CHARS = 3

@@ -72,60 +72,49 @@ def summary_windows(sections: DataFrame, text: str = "section_text") -> DataFram
     return sections.select(*keep, F.posexplode(windows).alias("window_idx", "window_text"))
 
 
-def summarise_sections(sections: DataFrame, model: Model, file_id: str = "file_id",
-                       text: str = "section_text") -> DataFrame:
+def summarise_sections(sections: DataFrame, model: Model, file_id: str = "file_id", text: str = "section_text",
+                       levels: int = 4, fallback_chars: int | None = config.SUMMARY_FALLBACK_CHARS) -> DataFrame:
     """Map-reduce summaries: ``file_id, section_idx, section_summary``.
 
-    One failed window fails its section. A failed section is asked once more and then
-    falls back to its first 80 characters.
+    Where the summaries of a section's windows are together still longer than one call takes,
+    they are cut into windows and summarised again, up to ``levels`` times; what is longer even
+    then goes into the last call whole. One failed window fails its section. A failed section is
+    asked once more; then its first ``fallback_chars`` characters stand in, or null without them.
     """
     key = [file_id, "section_idx"]
 
-    def one_pass(src: DataFrame) -> DataFrame:
-        parts = summary_windows(src.select(*key, text), text).withColumn(
-            "_part", model(F.col("window_text")))
+    def one_pass(src: DataFrame, left: int) -> DataFrame:
+        windows = summary_windows(src, text) if left else src.select(
+            *key, F.lit(0).alias("window_idx"), F.col(text).alias("window_text"))
+        parts = windows.withColumn("_part", model(F.col("window_text")))
         # A section has length/2000 windows, so the list is bounded by its own text.
         listed = F.array_sort(F.collect_list(F.struct("window_idx", "_part")))
         merged = parts.groupBy(*key).agg(
             F.count(F.lit(1)).alias("_n"), F.count("_part").alias("_ok"),
             F.array_join(F.transform(listed, lambda p: p["_part"]), " ").alias("_joined"))
-        once = merged.where("_n = 1").select(
-            *key, F.when(F.col("_ok") == 1, F.col("_joined")).alias("section_summary"))
-        again = merged.where("_n > 1").select(
-            *key, F.when(F.col("_ok") == F.col("_n"), model(
-                F.substring("_joined", 1, config.SUMMARY_MAX_CHARS))).alias("section_summary"))
-        return once.unionByName(again)
-
-    first = one_pass(sections)
+        joined = F.when(F.col("_ok") == F.col("_n"), F.col("_joined"))
+        done = merged.where("_n = 1 or _ok < _n").select(*key, joined.alias("section_summary"))
+        if not left:
+            return done
+        again = merged.where("_n > 1 and _ok = _n").select(*key, F.col("_joined").alias(text))
+        return done.unionByName(one_pass(again, left - 1))
+
+    first = one_pass(sections.select(*key, text), levels)
     done = first.where(F.col("section_summary").isNotNull())
     failed = sections.join(first.where(F.col("section_summary").isNull()).select(*key), key,
                            "left_semi")
-    second = one_pass(failed).join(failed.select(*key, text), key)
-    head = F.substring(F.col(text), 1, config.SUMMARY_FALLBACK_CHARS)
+    second = one_pass(failed.select(*key, text), levels).join(failed.select(*key, text), key)
+    head = F.substring(F.col(text), 1, fallback_chars) if fallback_chars else F.lit(None).cast("string")
     return done.unionByName(second.select(
         *key, F.coalesce("section_summary", head).alias("section_summary")))
 
 
-def file_metadata(summaries: DataFrame, model: Model, file_id: str = "file_id",
-                  sections_per_call: int = 500) -> DataFrame:
-    """File type and summary from the section summaries of each file.
-
-    A file of more sections than one call takes is condensed group by group first, so
-    the list behind one call stays bounded.
-    """
-    group = F.floor(F.col("section_idx") / sections_per_call).alias("_group")
+def file_metadata(summaries: DataFrame, model: Model, file_id: str = "file_id") -> DataFrame:
+    """File type and summary from the section summaries of each file, in one call for a file of any size."""
     lines = F.array_sort(F.collect_list(F.struct("section_idx", "section_summary")))
     usable = summaries.where(F.coalesce("section_summary", F.lit("")) != "")
-    grouped = usable.groupBy(file_id, group).agg(F.array_join(F.transform(
+    asked = usable.groupBy(file_id).agg(F.array_join(F.transform(
         lines, lambda s: F.concat(F.lit("- "), s["section_summary"])), "\n").alias("_text"))
-    several = grouped.groupBy(file_id).agg(F.count(F.lit(1)).alias("_groups"))
-    single = grouped.join(several.where("_groups = 1").select(file_id), file_id, "left_semi")
-    many = (grouped.join(several.where("_groups > 1").select(file_id), file_id, "left_semi")
-            .withColumn("_text", F.coalesce(
-                model(F.col("_text")), F.substring("_text", 1, config.SUMMARY_MAX_CHARS)))
-            .groupBy(file_id).agg(F.array_join(F.transform(F.array_sort(F.collect_list(
-                F.struct("_group", "_text"))), lambda g: g["_text"]), "\n").alias("_text")))
-    asked = single.select(file_id, "_text").unionByName(many.select(file_id, "_text"))
     replies = asked.withColumn("_meta", salvage_json(model(F.col("_text")), FILE_META_SCHEMA))
     files = summaries.select(file_id).distinct()
     return files.join(replies, file_id, "left").select(

@@ -87,10 +87,10 @@ def validate_points(points: Column) -> Column:
 
 
 def points_prompt(question: Column, answer: Column, references: Column) -> Column:
-    """The question, the answer (at most 8000 characters) and the cited files as JSON."""
+    """The question, the whole answer and the cited files as JSON."""
     return F.to_json(F.struct(
         question.alias("question"),
-        F.substring(answer, 1, config.ANSWER_MAX_CHARS).alias("answer"),
+        answer.alias("answer"),
         F.when(references != "", references).otherwise(F.lit("（无）")).alias("references")))
 
 

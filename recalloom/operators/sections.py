@@ -115,14 +115,12 @@ def header_sections(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def merge_pages(pages: DataFrame, file_id: str = "file_id", page_no: str = "page_no",
-                text: str = "text", pages_per_part: int = 1000) -> DataFrame:
+                text: str = "text") -> DataFrame:
     """Concatenate the pages of a file in page order, each followed by a blank line.
 
-    A file of up to ``pages_per_part`` pages becomes one row. A longer one becomes
-    several consecutive parts, so no group grows with the size of one file.
+    Every file becomes one row: a group is one text, which all later steps hold whole.
     """
-    part = F.floor(F.col(page_no) / pages_per_part).alias("part")
     ordered = F.array_sort(F.collect_list(F.struct(F.col(page_no), F.col(text))))
-    return (pages.groupBy(file_id, part)
+    return (pages.groupBy(file_id)
             .agg(F.array_join(F.transform(ordered, lambda p: F.concat(p[text], F.lit("\n\n"))), "")
                  .alias(text), F.count(F.lit(1)).alias("n_pages")))

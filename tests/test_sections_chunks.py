@@ -52,11 +52,11 @@ def test_header_chain(spark):
     assert len(texts) > 1 and all(t.startswith("# A > ## B > ### C\n") for t in texts)
 
 
-def test_merge_pages_bounds_its_groups(spark):
-    pages = spark.createDataFrame([("f", i, f"p{i}") for i in range(5)] + [("g", 0, "x")],
-                                  "file_id string, page_no long, text string")
-    rows = {(r.file_id, r.part): r.text for r in sections.merge_pages(pages, pages_per_part=2).collect()}
-    assert rows == {("f", 0): "p0\n\np1\n\n", ("f", 1): "p2\n\np3\n\n", ("f", 2): "p4\n\n", ("g", 0): "x\n\n"}
+def test_merge_pages_gives_one_row_per_file(spark):
+    pages = spark.createDataFrame([("f", i, f"p{i}") for i in range(2500)] + [("g", 0, "x")],
+                                  "file_id string, page_no long, text string").repartition(3)
+    rows = {r.file_id: (r.text, r.n_pages) for r in sections.merge_pages(pages).collect()}
+    assert rows == {"f": ("".join(f"p{i}\n\n" for i in range(2500)), 2500), "g": ("x\n\n", 1)}
 
 
 @pytest.mark.parametrize("size,overlap", [(10, 0), (10, 3), (7, 6), (1, 0)])
@@ -167,3 +167,18 @@ def test_summaries_retry_and_fall_back(spark):
         scripted_model(lambda p: 'ok {"file_type": "办法", "file_summary": "' + p[2:] + '"}'))
     assert {r.file_id: (r.file_type, r.file_summary) for r in meta.collect()} == {
         "f": ("办法", "s"), "g": ("未知", "")}
+
+
+def test_no_size_switch_in_metadata(spark):
+    from recalloom.functions.models import scripted_model
+
+    longest = "w" * 9000  # five windows whose summaries are too long for one call
+    rows = spark.createDataFrame([("f", 0, longest)], "file_id string, section_idx int, section_text string")
+    model = scripted_model(lambda p: f"{len(p)}|" + p[:1200] if len(p) == 2000 or len(p) == 1000 else f"<{len(p)}>")
+    out = enrich.summarise_sections(rows, model).first().section_summary
+    assert out.startswith("<")
+    many = spark.createDataFrame([("f", i, f"s{i}") for i in range(1200)], "file_id string, section_idx int, section_summary string")
+    meta = enrich.file_metadata(many, scripted_model(lambda p: '{"file_type": "t", "file_summary": "%d"}' % len(p.split("\n"))))
+    assert meta.first().file_summary == "1200"
+    none = enrich.summarise_sections(rows, scripted_model(lambda p: None), fallback_chars=None).first()
+    assert none.section_summary is None
