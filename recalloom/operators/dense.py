@@ -84,14 +84,19 @@ def _scan(batches, query_ids: list, matrix: np.ndarray, k: int, schema: pa.Schem
         yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
+# Memory of one block of vectors in the task that holds it.
+BLOCK_BYTES = 128 << 20
+
+
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = config.TOP_K,
                chunk_id: str = "chunk_id", embedding: str = "embedding",
                query_id: str = "query_id", query_embedding: str = "embedding",
-               block_rows: int = 1_000_000) -> DataFrame:
+               block_rows: int | None = None) -> DataFrame:
     """The ``k`` nearest vectors per query: ``query_id, chunk_id, score, rank``.
 
     A batch of queries of checked size is sent to the tasks that scan the vectors, which
-    then need no shuffle. A larger one is paired with the vectors block by block.
+    then need no shuffle. A larger one is paired with the vectors block by block; a block
+    holds ``block_rows`` vectors, or as many as fit ``BLOCK_BYTES`` as doubles.
     """
     v = vectors.select(F.col(chunk_id).alias("chunk_id"), F.col(embedding).alias("embedding"))
     q = queries.select(F.col(query_id).alias("query_id"),
@@ -104,7 +109,8 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = config.TOP_K,
     if head.num_rows <= MAX_SHARED_QUERIES and head.nbytes <= config.BROADCAST_MAX_BYTES:
         partial = _scan_with_shared_queries(v, head, k, schema)
     else:
-        partial = _scan_by_blocks(v, q, k, schema, block_rows)
+        dim = max([len(e) for e in head.column(1).slice(0, 1).to_pylist() if e], default=1)
+        partial = _scan_by_blocks(v, q, k, schema, block_rows or max(1, BLOCK_BYTES // (8 * dim)))
     return top_k(partial, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
 
 

@@ -67,6 +67,15 @@ def rerank(hits: DataFrame, questions: DataFrame, name: str, model: Model | None
     raise ValueError(f"unknown reranker {name!r}")
 
 
+def embedded(questions: DataFrame, setup: build.Build) -> DataFrame:
+    """Questions as a search takes them; embeddings that are there already are kept."""
+    have = [c for c in questions.columns if c in ("query_id", "route", "question", "embedding")]
+    asked = questions.select(*have)
+    if setup.embed is None or "embedding" in have:
+        return asked
+    return asked.withColumn("embedding", setup.embed(F.col("question")))
+
+
 def pipeline_hits(pipe: dict, cfg: RecallConfig, questions: DataFrame, setup: build.Build,
                   ks: list[int], model: Model | None = None, scorer=None) -> DataFrame:
     """Full hits of one pipeline at every k: ``pipeline, top_k, query_id, rank, ...``.
@@ -76,9 +85,7 @@ def pipeline_hits(pipe: dict, cfg: RecallConfig, questions: DataFrame, setup: bu
     """
     key = build.index_key(cfg.kb, pipe["chunker"], cfg.section_mode, cfg.with_meta)
     index = setup.store.open(key, setup.tokenizer)
-    asked = questions.select("query_id", "question")
-    if setup.embed is not None:
-        asked = asked.withColumn("embedding", setup.embed(F.col("question")))
+    asked = embedded(questions, setup)
     if pipe["retriever"] in ("vector", "bm25"):
         listed = recall.cut_at(search.retrieve(index, asked, pipe["retriever"], max(ks)), ks)
     else:
@@ -119,9 +126,11 @@ def run_recall(cfg: RecallConfig, test_set: DataFrame, setup: build.Build, docs:
     """
     pipelines = expand(cfg)
     ensure_built(cfg, pipelines, docs, setup)
+    # Embedded once, whatever the number of searches.
+    asked = keep("questions", embedded(test_set, setup), out, ())
     hits = None
     for pipe in pipelines:
-        part = pipeline_hits(pipe, cfg, test_set, setup, cfg.top_k_values, model, scorer)
+        part = pipeline_hits(pipe, cfg, asked, setup, cfg.top_k_values, model, scorer)
         hits = part if hits is None else hits.unionByName(part, allowMissingColumns=True)
     runs = test_set.sparkSession.createDataFrame(
         [(p["label"], k) for p in pipelines for k in cfg.top_k_values], "pipeline string, top_k int")

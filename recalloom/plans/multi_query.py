@@ -32,10 +32,9 @@ def run_multi_query(cfg: RecallConfig, test_set: DataFrame, rewrites: DataFrame,
     """
     pipelines = experiment.expand(cfg)
     experiment.ensure_built(cfg, pipelines, docs, setup)
-    asked, more = test_set.select("query_id", "question"), rewrites
-    if setup.embed is not None:
-        asked = asked.withColumn("embedding", setup.embed(F.col("question")))
-        more = more.withColumn("embedding", setup.embed(F.col("question")))
+    # Embedded once, whatever the number of searches.
+    asked = experiment.keep("questions", experiment.embedded(test_set.select("query_id", "question"), setup), out, ())
+    more = experiment.keep("rewrites", experiment.embedded(rewrites, setup), out, ())
     hits = None
     for pipe in pipelines:
         index = setup.store.open(build.index_key(cfg.kb, pipe["chunker"], cfg.section_mode,

@@ -11,13 +11,12 @@ from .config import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS
 
 
 def _measured(df: DataFrame) -> tuple[int, int]:
-    """Rows and bytes (as JSON, arrays aside) of the first ``BROADCAST_MAX_ROWS + 1`` rows.
+    """Rows and bytes (as JSON) of the first ``BROADCAST_MAX_ROWS + 1`` rows.
 
     Kept with the DataFrame object, so one table handed to several operators is read once.
     """
     if "_measured_size" not in df.__dict__:
-        flat = [F.col(f"`{c}`") for c, t in df.dtypes if not t.startswith("array")]
-        width = F.octet_length(F.to_json(F.struct(*flat))) if flat else F.lit(0)
+        width = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
         rows, size = df.limit(BROADCAST_MAX_ROWS + 1).agg(F.count(F.lit(1)), F.sum(width)).first()
         df.__dict__["_measured_size"] = (rows, size or 0)
     return df.__dict__["_measured_size"]
