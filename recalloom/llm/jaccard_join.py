@@ -47,8 +47,9 @@ WORDS, SIMILAR = 5, 80
 # Counters of the sketch, as a power of two: one megabyte from each task.
 SKETCH_BITS = 18
 _SLICE = 1 << 12
-# Regions up to so many members are compared pair by pair; larger ones get PIVOTS pivots, then twice as many.
-LEAF, PIVOTS = 64, 16
+# Regions beyond STAR members are first measured against PIVOTS pivots and, in ROUNDS rounds, each
+# time twice as many. Up to LEAF members they are then compared pair by pair; larger ones are divided.
+STAR, LEAF, PIVOTS, ROUNDS = 64, 4096, 16, 2
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
@@ -277,8 +278,11 @@ def resolve(space: _Space, regions: DataFrame) -> None:
         open_members = stored(members.join(state, "region"), "open-regions")
         if not open_members.limit(1).count():
             return
-        small, large = open_members.where(F.col("size") <= LEAF), open_members.where(F.col("size") > LEAF)
-        # At most LEAF partners each.
+        # First all but the smallest regions are measured against some pivots, which joins most of
+        # what belongs together; then only pairs of different components are left to compare.
+        leaf = LEAF if level >= ROUNDS else STAR
+        small, large = open_members.where(F.col("size") <= leaf), open_members.where(F.col("size") > leaf)
+        # Each member is held against leaf others at most, and what these conditions leave is measured.
         x, y = small.alias("x"), small.alias("y")
         near_enough = F.abs(F.col("x.distance") - F.col("y.distance")) <= reach + slack
         pairs = (x.join(y, F.col("x.region") == F.col("y.region"))
@@ -286,9 +290,15 @@ def resolve(space: _Space, regions: DataFrame) -> None:
                         & _may_link("x.n", "y.n", "x.rest", "y.rest") & F.coalesce(near_enough, F.lit(True)))
                  .select(*_pair("x.node", "y.node")))
         rank = Window.partitionBy("region").orderBy(F.xxhash64("node", F.lit(level)), "node")
-        pivots = large.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= PIVOTS << level).select("region", F.col("node").alias("pivot"))
-        pivots = stored(pivots, "pivots")
+        pivots = large.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= PIVOTS << level)
+        pivots = stored(pivots.select("region", F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("rest").alias("pivot_rest")), "pivots")
         to_pivot = large.join(pivots, "region").where("node <> pivot")
+        if level < ROUNDS:
+            space.measure(pairs.unionByName(to_pivot.where(_may_link("n", "m", "rest", "pivot_rest")).select(*_pair("node", "pivot"))).distinct())
+            regions = stored(large.select("region", "node", "n", "rest", "distance")
+                             .join(pivots.select("region", F.col("pivot").alias("node")), ["region", "node"], "left_anti"), "regions")
+            level += 1
+            continue
         space.measure(pairs.unionByName(to_pivot.select(*_pair("node", "pivot"))))
         if not pivots.limit(1).count():
             return

@@ -61,9 +61,10 @@ def families(seed, n):
     return [(i * 3, t) for i, t in enumerate(rows)] + [(None, "same text of six words here"), (None, "lone null id text"), (5, "x y"), (5, "x y")]
 
 
-@pytest.mark.parametrize("leaf, pivots", [(24, 8), (2, 1)])
+@pytest.mark.parametrize("leaf, pivots", [(4096, 16), (2, 1)])
 def test_components_against_brute_force(spark, monkeypatch, leaf, pivots):
     monkeypatch.setattr(jaccard_join, "LEAF", leaf)
+    monkeypatch.setattr(jaccard_join, "STAR", min(leaf, 64))
     monkeypatch.setattr(jaccard_join, "PIVOTS", pivots)
     rows = families(3, 30)
     got = jaccard_join.join(table(spark, rows))
@@ -74,13 +75,14 @@ def test_components_against_brute_force(spark, monkeypatch, leaf, pivots):
 def test_regions_go_on_through_cells(spark, monkeypatch):
     """One region of many components: every link must be found in some cell."""
     monkeypatch.setattr(jaccard_join, "LEAF", 3)
+    monkeypatch.setattr(jaccard_join, "STAR", 3)
     monkeypatch.setattr(jaccard_join, "PIVOTS", 2)
     rows = [r for r in families(8, 12) if shingles(r[1]) and r[0] is not None]
     docs = table(spark, rows)
     found = stored(jaccard_join.nodes_and_counts(jaccard_join._texts(docs, "doc_id", "text")), "nodes")
     named = found.where("slice is null").select("id", "text_hash", "n", "node")
     space = jaccard_join._Space(docs, "doc_id", "text", named)
-    members = named.groupBy("node").agg(F.first("n").alias("n")).select(F.lit(1).cast("bigint").alias("region"), "node", "n", F.lit(1.0).alias("distance"))
+    members = named.groupBy("node").agg(F.first("n").alias("n")).select(F.lit(1).cast("bigint").alias("region"), "node", "n", F.col("n").alias("rest"), F.lit(None).cast("double").alias("distance"))
     jaccard_join.resolve(space, stored(members, "members"))
     got = sorted(map(tuple, jaccard_join._named(space, named).collect()), key=repr)
     assert got == brute(rows)
