@@ -51,6 +51,9 @@ _SLICE = 1 << 12
 # time twice as many. Up to LEAF members they are then compared pair by pair; larger ones are divided.
 STAR, LEAF, PIVOTS, ROUNDS = 64, 4096, 16, 2
 
+# Bits of the mark of a set: each shingle sets one. Marks that differ in many bits come from sets that differ.
+MARK_BITS = 1024
+
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -104,16 +107,22 @@ def _node(shingles: np.ndarray) -> int | None:
     return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).astype(np.int64)) if len(shingles) else None
 
 
+def _mark(shingles: np.ndarray) -> np.ndarray:
+    bits = np.zeros(MARK_BITS, bool)
+    bits[(shingles & np.uint64(MARK_BITS - 1)).astype(np.int64)] = True
+    return np.packbits(bits).view(np.int64)
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(f"`{text_col}`")
     return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
 
 
 def nodes_and_counts(texts: DataFrame) -> DataFrame:
-    """One pass over the texts: (id, text_hash, n, node) of each, and each task's sketch in rows of slices."""
+    """One pass over the texts: (id, text_hash, n, node, mark) of each, and each task's sketch in rows of slices."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, counts = _shingler(), np.zeros(1 << SKETCH_BITS, np.int64)
-        names = ["id", "text_hash", "n", "node", "slice", "counts"]
+        names = ["id", "text_hash", "n", "node", "mark", "slice", "counts"]
         for batch in batches:
             at = 0
             for some in packs(batch.column(2).to_pylist(), empty=b""):
@@ -122,15 +131,15 @@ def nodes_and_counts(texts: DataFrame) -> DataFrame:
                 m = len(some)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(at, m), batch.column(1).slice(at, m), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([_node(s) for s in sets], pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.list_(pa.int64()))], names=names)
+                    pa.array([_node(s) for s in sets], pa.int64()), pa.array([_mark(s) for s in sets], pa.list_(pa.int64())), pa.nulls(m, pa.int32()), pa.nulls(m, pa.list_(pa.int64()))], names=names)
                 at += m
         slices = np.flatnonzero(counts.reshape(-1, _SLICE).any(1))
         m = len(slices)
         yield pa.RecordBatch.from_arrays([
-            pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()),
+            *[pa.nulls(m, pa.int64())] * 4, pa.nulls(m, pa.list_(pa.int64())),
             pa.array(slices, pa.int32()), pa.array(list(counts.reshape(-1, _SLICE)[slices]), pa.list_(pa.int64()))], names=names)
 
-    return texts.mapInArrow(run, "id bigint, text_hash bigint, n bigint, node bigint, slice int, counts array<bigint>")
+    return texts.mapInArrow(run, "id bigint, text_hash bigint, n bigint, node bigint, mark array<bigint>, slice int, counts array<bigint>")
 
 
 def sketch(found: DataFrame) -> np.ndarray:
@@ -221,12 +230,31 @@ class _Space:
         self.sets: DataFrame | None = None
         self.roots: DataFrame | None = None
 
-    def measure(self, pairs: DataFrame) -> None:
-        """Distances of the pairs (a < b) that have none yet."""
+    def measure(self, pairs: DataFrame, all_distances: bool = False) -> None:
+        """Links and distances of the pairs (a < b) that have none yet.
+
+        Each bit in which two marks differ stands for a shingle that one set has alone. Where more
+        of them differ than linked sets may, the pair is not linked and its distance stays null,
+        unless ``all_distances`` are asked for.
+        """
         pairs = pairs.select("a", "b").distinct()
         if self.measured is not None:
-            pairs = pairs.join(self.measured, ["a", "b"], "left_anti")
+            known = self.measured.where("distance is not null") if all_distances else self.measured
+            pairs = pairs.join(known, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
+        far = None
+        if not all_distances:
+            ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+            marks = stored(self.names.join(ends, "node", "left_semi").groupBy("node").agg(F.first("mark").alias("mark"), F.first("n").alias("n")), "marks")
+            differ = F.aggregate(F.zip_with("mark_a", "mark_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda c, n: c + n)
+            # s (n + m + d) <= n + m - d for d shingles in one set only and similarity s.
+            close = F.col("differ") * (100 + SIMILAR) <= (100 - SIMILAR) * (F.col("n_a") + F.col("n_b"))
+            seen = (pairs.join(marks.select(F.col("node").alias("a"), F.col("mark").alias("mark_a"), F.col("n").alias("n_a")), "a")
+                    .join(marks.select(F.col("node").alias("b"), F.col("mark").alias("mark_b"), F.col("n").alias("n_b")), "b")
+                    .withColumn("differ", differ).select("a", "b", close.alias("close")))
+            seen = stored(seen, "seen")
+            far = seen.where("not close").select("a", "b", F.lit(False).alias("linked"), F.lit(None).cast("double").alias("distance"))
+            pairs = seen.where("close").select("a", "b")
         asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         if self.sets is not None:
             asked = asked.join(self.sets, "node", "left_anti")
@@ -237,6 +265,8 @@ class _Space:
             sets = stored(shingle_sets(texts).groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
             self.sets = sets if self.sets is None else self.sets.unionByName(sets)
         if self.sets is None:
+            if far is not None:
+                self.measured = far if self.measured is None else self.measured.unionByName(far)
             return
         sets = self.sets
         b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
@@ -246,7 +276,9 @@ class _Space:
                 .select("a", "b", common.cast("bigint").alias("common"), (F.size("of_a") + F.size("of_b") - common).cast("bigint").alias("all")))
         done = stored(done.select("a", "b", (100 * F.col("common") >= SIMILAR * F.col("all")).alias("linked"),
                                   (1 - F.col("common") / F.col("all")).alias("distance")), "measured")
-        self.measured = done if self.measured is None else self.measured.unionByName(done)
+        for part in (done, far):
+            if part is not None:
+                self.measured = part if self.measured is None else self.measured.unionByName(part)
         if done.where("linked").limit(1).count():
             self.roots = components(stored(self.measured.where("linked"), "links"))
 
@@ -299,12 +331,14 @@ def resolve(space: _Space, regions: DataFrame) -> None:
                              .join(pivots.select("region", F.col("pivot").alias("node")), ["region", "node"], "left_anti"), "regions")
             level += 1
             continue
-        space.measure(pairs.unionByName(to_pivot.select(*_pair("node", "pivot"))))
+        space.measure(pairs)
+        if pivots.limit(1).count():
+            space.measure(to_pivot.select(*_pair("node", "pivot")), all_distances=True)
         if not pivots.limit(1).count():
             return
         rest = (to_pivot.join(pivots.select("region", F.col("pivot").alias("node")), ["region", "node"], "left_anti")
                 .select("region", "node", "n", "rest", "size", "pivot", *_pair("node", "pivot"))
-                .join(space.measured.drop("linked"), ["a", "b"]))
+                .join(space.measured.where("distance is not null").drop("linked"), ["a", "b"]))
         home = F.min("distance").over(Window.partitionBy("region", "node"))
         cells = stored(rest.withColumn("home", home).where(F.col("distance") <= F.col("home") + 2 * reach + slack), "cells")
         divided = cells.groupBy("region").agg((F.count(F.lit(1)) <= F.first("size")).alias("divided"))
@@ -319,7 +353,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """``id, n_shingles, component_id`` per row; ``component_id`` is the smallest id of its component."""
     texts = _texts(docs, id_col, text_col)
     found = stored(nodes_and_counts(texts), "nodes")
-    rows = found.where(F.col("slice").isNull()).select("id", "text_hash", "n", "node")
+    rows = found.where(F.col("slice").isNull()).select("id", "text_hash", "n", "node", "mark")
     # One shuffle by region; the windows use its partitioning. A node comes at most once per task.
     placed = prefixes(texts, sketch(found)).repartition("region").distinct()
     within = Window.partitionBy("region")

@@ -80,7 +80,7 @@ def test_regions_go_on_through_cells(spark, monkeypatch):
     rows = [r for r in families(8, 12) if shingles(r[1]) and r[0] is not None]
     docs = table(spark, rows)
     found = stored(jaccard_join.nodes_and_counts(jaccard_join._texts(docs, "doc_id", "text")), "nodes")
-    named = found.where("slice is null").select("id", "text_hash", "n", "node")
+    named = found.where("slice is null").select("id", "text_hash", "n", "node", "mark")
     space = jaccard_join._Space(docs, "doc_id", "text", named)
     members = named.groupBy("node").agg(F.first("n").alias("n")).select(F.lit(1).cast("bigint").alias("region"), "node", "n", F.col("n").alias("rest"), F.lit(None).cast("double").alias("distance"))
     jaccard_join.resolve(space, stored(members, "members"))
