@@ -17,16 +17,15 @@ from recalloom.session import ship
 
 ORACLE_SQL = None
 
-# A document goes if no language has this share of its words.
-LEAST_SHARE = 0.4
 # A document goes from this score on.
 TOXIC = 0.5
 
 
 def language_id_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter go; those that switch language stay, however small the largest share."""
     copy, lang, share = (fresh_name(docs.columns, c) for c in ("_copy", "_language", "_share"))
     found = langid.identify(docs.withColumn(copy, F.col("text")), language_model(docs), copy, lang, share)
-    return found.where((F.col(lang) != langid.UNKNOWN) & (F.col(share) >= LEAST_SHARE)).select(*docs.columns)
+    return found.where(F.col(lang) != langid.UNKNOWN).select(*docs.columns)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
