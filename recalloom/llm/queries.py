@@ -56,6 +56,13 @@ _DUCK_LINES = r"""list_filter(list_transform(string_split(regexp_replace(regexp_
 _DUCK_HOST = r"translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def _counted(cut: DataFrame) -> DataFrame:
+    """What is left of each page, as text, and how many lines it had and lost."""
+    return cut.select(F.col("id").alias("page_id"), "host", F.size("lines").cast("bigint").alias("n_lines"),
+                      (F.size("lines") - F.size("kept")).cast("bigint").alias("n_dropped"),
+                      F.array_join("kept", "\n").alias("text"))
+
+
 @query("op2_line_dedup", f"""
 WITH p AS (SELECT page_id, {_DUCK_HOST} AS host, {_DUCK_LINES} AS lines FROM pages),
 t AS (SELECT host, count(*) AS pages FROM p WHERE host <> '' GROUP BY host),
@@ -68,9 +75,23 @@ SELECT page_id, host, len(lines)::BIGINT AS n_lines,
 FROM p LEFT JOIN b USING (host)""")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = line_dedup.drop_boilerplate(table(spark, sf_dir, "pages"))
-    return cut.select(F.col("id").alias("page_id"), "host", F.size("lines").cast("bigint").alias("n_lines"),
-                      (F.size("lines") - F.size("kept")).cast("bigint").alias("n_dropped"),
-                      F.array_join("kept", "\n").alias("text"))
+    return _counted(cut)
+
+
+@query("op2_line_dedup_rotating", f"""
+WITH p AS (SELECT page_id, {_DUCK_HOST} AS host, {_DUCK_LINES} AS lines FROM pages),
+t AS (SELECT host, count(*) AS pages FROM p WHERE host <> '' GROUP BY host),
+l AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM p WHERE host <> '')
+      GROUP BY host, line),
+b AS (SELECT host, list(line) AS common FROM l JOIN t USING (host) WHERE (n >= 2 AND n > 0.5 * pages) OR (n >= {line_dedup.ROTATING_PAGES} AND n > {line_dedup.ROTATING_RATIO}::DOUBLE * pages) GROUP BY host)
+SELECT page_id, host, len(lines)::BIGINT AS n_lines,
+       (len(lines) - len(list_filter(lines, lambda x: NOT list_contains(coalesce(common, []), x))))::BIGINT AS n_dropped,
+       array_to_string(list_filter(lines, lambda x: NOT list_contains(coalesce(common, []), x)), chr(10)) AS text
+FROM p LEFT JOIN b USING (host)""")
+def op2_rotating(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Also lines on over a tenth of a site's pages, five at least: what rotates is on few of them."""
+    pages = table(spark, sf_dir, "pages")
+    return _counted(line_dedup.drop_boilerplate(pages, rotating_ratio=line_dedup.ROTATING_RATIO))
 
 
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))

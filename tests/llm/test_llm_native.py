@@ -91,6 +91,16 @@ def test_lines_against_brute_force(spark):
         assert r.kept == [x for x in r.lines if sum(x in s for s in site) * 2 <= len(site)]
 
 
+def test_ads_that_rotate_over_a_site_go(spark):
+    # Forty pages take turns with five ads; eight pages share one ad per two; each page has a line of its own.
+    rows = [(i, f"http://big.example/{i}", f"<p>ad {i % 5}</p><p>text {i}</p><p>pair {i // 2}</p><p>rare {i // 4}</p>") for i in range(40)]
+    rows += [(100 + i, f"http://small.example/{i}", f"<p>ad {i % 2}</p><p>{'most' if i < 5 else 'few'}</p>") for i in range(8)]
+    got = {r.id: r.kept for r in line_dedup.drop_boilerplate(pages(spark, *rows), rotating_ratio=line_dedup.ROTATING_RATIO).collect()}
+    assert all(got[i] == [f"text {i}", f"pair {i // 2}", f"rare {i // 4}"] for i in range(40))
+    # Four of eight pages are neither more than half nor five.
+    assert all(got[100 + i] == [f"ad {i % 2}"] + ["few"] * (i >= 5) for i in range(8))
+
+
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"),
          ("block", "a.b.org", ""), ("allow", "a.b.org", "/x/y"), ("block", "a.b.org", "/x/yz/q")]
 
