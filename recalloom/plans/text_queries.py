@@ -217,6 +217,40 @@ def chunk_header_chain(spark, sf_dir):
                          chunkers.header_prefix(F.col("headers")).alias("chain"))
 
 
+@query("chunk_header_chain_all", f"""WITH {DOCS_MD}, ln AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) AS i FROM md),
+hd AS (
+  SELECT *, CASE WHEN regexp_matches(line, '^#{{1,6}}\\s+.+$')
+                 THEN length(regexp_extract(line, '^#+')) END AS level FROM ln),
+w AS (
+  SELECT *, count(level) OVER (PARTITION BY doc_id ORDER BY i) AS s,
+    max(CASE WHEN level = 1 THEN i END) OVER u AS i1,
+    max(CASE WHEN level <= 2 THEN i END) OVER u AS i2,
+    max(CASE WHEN level <= 3 THEN i END) OVER u AS i3,
+    max(CASE WHEN level <= 4 THEN i END) OVER u AS i4,
+    max(CASE WHEN level <= 5 THEN i END) OVER u AS i5,
+    max(CASE WHEN level <= 6 THEN i END) OVER u AS i6
+  FROM hd WINDOW u AS (PARTITION BY doc_id ORDER BY i)),
+h AS (
+  SELECT w.*, list_distinct(list_filter([i1, i2, i3, i4, i5, i6], lambda x: x IS NOT NULL)) AS ids FROM w
+  WHERE level IS NOT NULL)
+SELECT h.doc_id, h.s::INTEGER AS section_idx,
+       string_agg(regexp_extract(x.line, '^#+') || ' ' || trim(regexp_replace(x.line, '^#+\\s+', '')),
+                  ' > ' ORDER BY x.i) AS chain
+FROM h JOIN hd x ON x.doc_id = h.doc_id AND list_contains(h.ids, x.i)
+GROUP BY h.doc_id, h.s
+UNION ALL
+SELECT doc_id, 0::INTEGER AS section_idx, '' AS chain FROM w WHERE s = 0 GROUP BY doc_id
+HAVING trim(string_agg(line, chr(10) ORDER BY i), chr(10) || chr(9) || chr(13) || ' ') <> ''""")
+def chunk_header_chain_all(spark, sf_dir):
+    """Every section: documents without a heading and text before the first one have an empty chain."""
+    docs = documents_with_headings(spark, sf_dir).select("doc_id", "text")
+    return sections.header_sections(docs).select(
+        "doc_id", F.col("section_idx").cast("int").alias("section_idx"),
+        chunkers.header_prefix(F.col("headers")).alias("chain"))
+
+
 @query("chunk_header_aware")
 def chunk_header_aware(spark, sf_dir):
     docs = documents_with_headings(spark, sf_dir).select("doc_id", "text")
@@ -283,6 +317,54 @@ def attach_metadata(spark, sf_dir):
         "doc_id", "ord", "file_type", "file_summary", "section_summary")
 
 
+# A text of any length and language as 32 hex digits, for want of a model that reads it.
+@query("inject_metadata_whole", """SELECT doc_id,
+  concat_ws('；', '文件类型：' || lang, '章节：正文', '章节摘要：' || md5(text),
+            CASE WHEN source <> '' THEN '文件摘要：' || source END) || chr(10) || text AS index_text
+FROM documents""")
+def inject_metadata_whole(spark, sf_dir):
+    """The digest of the whole text, in every language, as section summary."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("lang").alias("file_type"), F.col("source").alias("file_summary"),
+        F.lit("正文").alias("title"), F.md5(F.col("text").cast("binary")).alias("section_summary"),
+        F.col("text").alias("index_text"))
+    return enrich.inject_metadata(docs).select("doc_id", "index_text")
+
+
+def conversation_digests(turns: DataFrame) -> DataFrame:
+    """``doc_id, section_idx, section_summary``: all turns of each conversation and their whole texts.
+
+    The summary is the count of the turns and the sum of their digests, so partial aggregation
+    leaves one row per task and conversation, however many turns it has.
+    """
+    turn = F.concat_ws("|", F.col("turn").cast("string"), "role", "text")
+    number = F.conv(F.substring(F.md5(turn.cast("binary")), 1, 15), 16, 10).cast("decimal(28,0)")
+    return turns.groupBy(F.col("conv_id").alias("doc_id"), F.lit(0).alias("section_idx")).agg(
+        F.concat(F.count(F.lit(1)).cast("string"), F.lit(" turns "),
+                 F.sum(number).cast("string")).alias("section_summary"))
+
+
+@query("attach_metadata_turns", """SELECT d.doc_id, w.ord, coalesce(f.file_type, '') AS file_type,
+  coalesce(f.file_summary, '') AS file_summary, coalesce(s.section_summary, '') AS section_summary
+FROM documents d
+JOIN (SELECT doc_id, unnest(generate_series(0, (length(text) - 1) // 1100))::INTEGER AS ord FROM documents
+      WHERE length(text) > 0) w USING (doc_id)
+LEFT JOIN (SELECT doc_id, 'quality ' || quality AS file_type, 'toxic ' || toxic AS file_summary
+           FROM labels) f USING (doc_id)
+LEFT JOIN (SELECT conv_id AS doc_id, count(*) || ' turns ' ||
+             sum(('0x' || substr(md5(concat_ws('|', turn::VARCHAR, role, text)), 1, 15))::BIGINT) AS section_summary
+           FROM conversations GROUP BY conv_id) s USING (doc_id)""")
+def attach_metadata_turns(spark, sf_dir):
+    """As attach_metadata, with a digest over all turns of the conversation and their whole texts."""
+    chunks = chunkers.char_windows(whole(spark, sf_dir).withColumn("section_idx", F.lit(0)), 1100)
+    file_meta = table(spark, sf_dir, "labels").select(
+        "doc_id", F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("file_type"),
+        F.concat(F.lit("toxic "), F.col("toxic").cast("string")).alias("file_summary"))
+    section_meta = conversation_digests(table(spark, sf_dir, "conversations"))
+    return enrich.attach_metadata(chunks, file_meta, section_meta, "doc_id").select(
+        "doc_id", "ord", "file_type", "file_summary", "section_summary")
+
+
 @query("summary_windows", """SELECT doc_id, i::INTEGER AS window_idx,
   CASE WHEN length(text) > 3000 THEN substr(text, i * 2000 + 1, 2000) ELSE text END AS window_text
 FROM (SELECT doc_id, text, unnest(CASE WHEN length(text) > 3000
