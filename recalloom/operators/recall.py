@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions.coverage import coverage, verbatim_coverage
 from ..functions.text import file_match, keep_charset, normalise_file_ref
-from ..scale import is_small
+from ..scale import broadcast_if_small, is_small
+from ..session import checkpoint_dir
 
 RUN = ("pipeline", "top_k")
 
@@ -54,15 +56,17 @@ def question_recall(hits: DataFrame, test_set: DataFrame, run: Sequence[str] = R
     """Single, merged, concatenated and file recall for every run and question.
 
     ``hits``: ``run..., query_id, rank, chunk_id, content_text, source``;
-    ``test_set``: ``query_id, gold_answer, ref_file``. Single and merged recall are the
+    ``test_set``: ``query_id, gold_answer, ref_file``, or the array ``ref_files`` of
+    :func:`with_reference_files`, any of which may match. Single and merged recall are the
     same flag (some text reaches the threshold), so coverage is measured once; only the
     single one has a position. ``runs`` lists the runs so that a question without any hit
     counts as a miss. ``with_score`` adds ``top_score``, the best score of each list.
     """
     run = list(run)
     scored = ["score"] if with_score else []
-    gold = test_set.select("query_id", "gold_answer", normalise_file_ref(
-        F.coalesce("ref_file", F.lit(""))).alias("_ref"))
+    several = "ref_files" in test_set.columns
+    ref = F.col("ref_files") if several else normalise_file_ref(F.coalesce("ref_file", F.lit("")))
+    gold = test_set.select("query_id", "gold_answer", ref.alias("_ref"))
     if is_small(test_set):
         gold = F.broadcast(gold)
     judged = hits.select(*run, "query_id", "rank", "chunk_id", "content_text", "source",
@@ -71,7 +75,8 @@ def question_recall(hits: DataFrame, test_set: DataFrame, run: Sequence[str] = R
     marked = (_with_coverage(judged, run, charset, measure, threshold, autojunk)
               .withColumn("_src", normalise_file_ref(F.coalesce("source", F.lit(""))))
               .withColumn("_ok", F.col("coverage") >= threshold)
-              .withColumn("_file", file_match(F.col("_ref"), F.col("_src"), list(aliases))))
+              .withColumn("_file", F.exists("_ref", lambda r: file_match(r, F.col("_src"), list(aliases)))
+                          if several else file_match(F.col("_ref"), F.col("_src"), list(aliases))))
     # A group is one result list, at most top_k texts long.
     listed = F.array_sort(F.collect_list(F.struct("rank", "content_text")))
     joined = F.array_join(F.transform(listed, lambda h: keep_charset(h["content_text"], charset)), "")
@@ -97,6 +102,41 @@ def question_recall(hits: DataFrame, test_set: DataFrame, run: Sequence[str] = R
     return grid.join(flags, [*run, "query_id"], "left").fillna(0, subset=names)
 
 
+def with_reference_files(items: DataFrame, docs: DataFrame, anchor_words: int = 5) -> DataFrame:
+    """``items`` with ``ref_files``: the normalised sources of all documents that hold ``gold_answer``.
+
+    ``items``: ``query_id, gold_answer, ...``; ``docs``: ``text, source``. Words that stand between
+    white space inside an item are words of every text that holds it, so documents are looked up by
+    the hash of ``anchor_words`` of them and then searched for the whole item. An item too short for
+    that is searched for in every document. Items that no document holds keep an empty array.
+    """
+    def words(text: str) -> Column:
+        return F.split(F.col(text), r"\s+")
+
+    inner = F.col("_words")
+    gold = items.select("query_id", F.col("gold_answer").alias("_gold"), words("gold_answer").alias("_words")).where(
+        "_gold is not null").withColumn("_anchor", F.when(
+            F.size(inner) >= anchor_words + 2, F.xxhash64(*[F.get(inner, F.lit(1 + i)) for i in range(anchor_words)]))).drop("_words")
+    texts = docs.where("text is not null").select("text", "source", F.xxhash64("text").alias("_key"))
+    cut = texts.select("_key", words("text").alias("_words")).where(F.size("_words") >= anchor_words)
+    runs = F.transform(F.sequence(F.lit(0), F.size("_words") - anchor_words),
+                       lambda i: F.xxhash64(*[F.get(inner, i + j) for j in range(anchor_words)]))
+    anchors = broadcast_if_small(gold.where("_anchor is not null"))
+    found = cut.select("_key", F.explode(runs).alias("_anchor")).join(anchors, "_anchor").select(
+        "_key", "query_id", "_gold").distinct()
+    # Written, so that its size is known and the texts need not be cut twice.
+    path = f"{checkpoint_dir(docs.sparkSession)}/anchored-{uuid.uuid4().hex}"
+    found.write.parquet(path)
+    found = broadcast_if_small(docs.sparkSession.read.schema(found.schema).parquet(path))
+    holds = F.contains("text", "_gold")
+    hits = texts.join(found, "_key").where(holds).select("query_id", "source").unionByName(
+        texts.join(broadcast_if_small(gold.where("_anchor is null")), holds).select("query_id", "source"))
+    files = hits.distinct().select("query_id", normalise_file_ref(F.coalesce("source", F.lit(""))).alias("_file"))
+    files = files.where("_file <> ''").groupBy("query_id").agg(F.array_sort(F.collect_set("_file")).alias("ref_files"))
+    return items.join(files, "query_id", "left").withColumn(
+        "ref_files", F.coalesce("ref_files", F.array().cast("array<string>")))
+
+
 def rollup(recall: DataFrame, run: Sequence[str] = RUN) -> DataFrame:
     """Rates in percent and the mean position of the hits, per run."""
     have = [c for c in ("single", "merged", "concat", "file") if c in recall.columns]

@@ -76,6 +76,54 @@ def recall_rollup_by_k(spark, sf_dir):
     return recall.rollup(flags, ["top_k"])
 
 
+@once
+def test_set_by_content(spark, sf_dir) -> DataFrame:
+    """Every benchmark item with the files of all documents that hold its text."""
+    items = questions(spark, sf_dir).withColumn("gold_answer", F.col("question"))
+    return recall.with_reference_files(items, table(spark, sf_dir, "documents").select("text", "source"))
+
+
+TEST_SET_BY_CONTENT = """ts AS (SELECT item_id AS query_id, b.text AS gold,
+    coalesce(list(DISTINCT d.source) FILTER (WHERE d.source <> ''), []) AS refs
+  FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY item_id, b.text)"""
+
+
+def content_flags_sql(name: str, lists: str, hits: str, keys: str) -> str:
+    """As flags_sql, for every question of ``lists`` and any of its files."""
+    return f"""{name} AS (SELECT {keys}, n_ref_files, hit_rank, file_rank, (hit_rank > 0)::INTEGER AS single,
+    (file_rank > 0)::INTEGER AS "file", (hit_rank > 0)::INTEGER AS merged
+  FROM (SELECT {keys}, len(any_value(refs))::INTEGER AS n_ref_files,
+          coalesce(min(CASE WHEN contains(d.text, gold) THEN rank END), 0)::INTEGER AS hit_rank,
+          coalesce(min(CASE WHEN len(list_filter(refs, lambda x: contains(d.source, x) OR contains(x, d.source))) > 0
+            AND d.source <> '' THEN rank END), 0)::INTEGER AS file_rank
+        FROM {lists} LEFT JOIN {hits} h USING ({keys}) LEFT JOIN documents d ON d.doc_id = h.chunk_id GROUP BY {keys}))"""
+
+
+def content_recall(spark, sf_dir, ks: list[int]) -> DataFrame:
+    """Flags for every item and k; one without a hit or without a file counts as a miss."""
+    hits = recall.cut_at(document_hits(spark, sf_dir, max(ks)), ks)
+    tests = test_set_by_content(spark, sf_dir)
+    runs = spark.createDataFrame([(k,) for k in ks], "top_k int")
+    flags = recall.question_recall(hits, tests, ["top_k"], measure="verbatim", concat=False, runs=runs)
+    return flags.join(tests.select("query_id", F.size("ref_files").alias("n_ref_files")), "query_id")
+
+
+@query("recall_per_question_by_content", f"""WITH {MODEL}, {sparse_sql(5)}, {TEST_SET_BY_CONTENT},
+{content_flags_sql('r', 'ts', 'sparse', 'query_id')}
+SELECT query_id, n_ref_files, hit_rank, file_rank, single, "file", merged FROM r""")
+def recall_per_question_by_content(spark, sf_dir):
+    return content_recall(spark, sf_dir, [5]).drop("top_k")
+
+
+@query("recall_rollup_by_content", f"""WITH {MODEL}, {sparse_sql(10)}, {TEST_SET_BY_CONTENT},
+ks AS (SELECT ts.*, top_k FROM ts, (SELECT unnest([1, 3, 5, 10])::INTEGER AS top_k)),
+cut AS (SELECT query_id, chunk_id, rank, top_k FROM sparse, (SELECT unnest([1, 3, 5, 10])::INTEGER AS top_k) WHERE rank <= top_k),
+{content_flags_sql('r', 'ks', 'cut', 'top_k, query_id')}
+{rates_sql('r', 'top_k')}""")
+def recall_rollup_by_content(spark, sf_dir):
+    return recall.rollup(content_recall(spark, sf_dir, [1, 3, 5, 10]), ["top_k"])
+
+
 def window_chunks(spark, sf_dir, size: int = 1100) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.col("text").alias("section_text"))
     # A number is cheaper to group by than a string; no document has 2^20 windows.

@@ -5,6 +5,7 @@ import hashlib
 import pytest
 
 import __spark_entry__ as entry
+from recalloom.operators import recall
 
 LONG = "x" * 79
 
@@ -52,3 +53,20 @@ def test_attached_summary_reads_all_turns_and_whole_texts(spark, tables):
     assert base.startswith("2 turns ")
     assert summary("tail", first, (1, 1, "bot", LONG + "deg")) != base
     assert summary("order", (1, 1, "user", LONG + "abc"), (1, 0, "bot", LONG + "def")) != base
+
+
+def test_reference_files_are_those_of_the_documents_that_hold_the_item(spark):
+    long = "zero one two three four five six seven"
+    items = spark.createDataFrame([(1, long), (2, "short one"), (3, long + " eight"), (4, "no such words in any of the documents"), (900, "tail"), (5, None)],
+                                  "query_id bigint, gold_answer string")
+    docs = spark.createDataFrame([(f"xx{long}yy", "a.pdf"), (f"xx{long}yy", "b.pdf"), (long + " eight", "c.pdf"), (long.replace("seven", "6"), "d.pdf"),
+                                  ("a short one, tail", "e.pdf"), (None, "f.pdf"), (f"{long}", None), ("one two three four five", "g.pdf")], "text string, source string")
+    got = {r.query_id: r.ref_files for r in recall.with_reference_files(items, docs).collect()}
+    assert got == {1: ["a", "b", "c"], 2: ["e"], 3: ["c"], 4: [], 900: ["e"], 5: []}
+
+
+def test_items_whose_number_is_no_document_count(spark, tables):
+    path, write = tables
+    write("benchmark", [(77, f"{LONG}b"), (78, "not there at all")], "item_id bigint, text string")
+    got = {r.query_id: r for r in run(spark, "recall_per_question_by_content", path)}
+    assert got[78].n_ref_files == got[78].single == got[78].file == 0 and got.keys() == {77, 78}
