@@ -187,3 +187,6 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_jaccard_join")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+from . import audit_queries  # noqa: E402, F401  (registers its queries here)
