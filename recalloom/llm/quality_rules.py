@@ -57,7 +57,7 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     line = F.col(fresh_name(docs.columns, "_lines"))
     out = rows.withColumns({
         "n_words": n.cast("bigint"),
-        "word_chars": F.length(F.translate(t, _SPACES, "")).cast("bigint"),
+        "word_chars": F.length(F.array_join(w, "")).cast("bigint"),
         "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("bigint"),
         "n_lines": F.size(line).cast("bigint"),
         "n_dup_lines": (F.size(line) - F.size(F.array_distinct(line))).cast("bigint"),
