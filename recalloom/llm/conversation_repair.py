@@ -277,7 +277,7 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield from zip(*[c.to_pylist() for c in batch.columns])
 
 
-def _segments(rows: Iterator[tuple]) -> Iterator[tuple[int, tuple]]:
+def _segments(rows: Iterator[tuple], segment_rows: int) -> Iterator[tuple[int, tuple]]:
     """Finished conversations, and segments of those that another task may hold a part of."""
     table, at, first, current, segment = tables(), 0, True, None, None
     parted = False
@@ -305,7 +305,7 @@ def _segments(rows: Iterator[tuple]) -> Iterator[tuple[int, tuple]]:
                 first = False
             current, segment, parted = conv, _Segment(), False
         for copy in range(times):
-            if len(segment.symbols) >= SEGMENT_ROWS or segment.chars >= SEGMENT_CHARS:
+            if len(segment.symbols) >= segment_rows or segment.chars >= SEGMENT_CHARS:
                 yield open_part(current)
                 segment, parted = _Segment(), True
             segment.add(turn, role, text, seen or copy > 0)
@@ -330,7 +330,7 @@ def _costs_after(segments: list[tuple]) -> Iterator[tuple]:
 
 
 def repair(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
-           text_col: str = "text", times: Column | None = None) -> DataFrame:
+           text_col: str = "text", times: Column | None = None, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Counts, cheapest cost, edits and repaired hash of every conversation of ``rows``.
 
     Returns ``conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256``.
@@ -349,7 +349,7 @@ def repair(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", r
     arrow = to_arrow_schema(schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _batches(_segments(_cells(batches)), arrow)
+        yield from _batches(_segments(_cells(batches), segment_rows), arrow)
 
     found = stored(placed.select("conv_id", "turn", "role", "text", "times", "seen").mapInArrow(cut, schema), "conversations")
     columns = [x.split()[0] for x in f"conv_id x, {_COUNTS}, {_DONE}".split(", ")]
@@ -489,10 +489,10 @@ def damaged(rows: DataFrame) -> tuple[DataFrame, Column]:
     return rows.withColumns({"text": text, "role": role}), F.when(F.col("damage") == 3, F.lit(2)).otherwise(F.lit(1))
 
 
-def damage_and_repair(rows: DataFrame) -> DataFrame:
+def damage_and_repair(rows: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Every conversation of ``rows``, damaged, then repaired; one without rows left has zeros."""
     left, times = damaged(rows)
-    found = repair(left, times=times).withColumnRenamed("conv_id", "_conv")
+    found = repair(left, times=times, segment_rows=segment_rows).withColumnRenamed("conv_id", "_conv")
     ids = rows.select("conv_id").distinct()
     out = ids.join(found, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").drop("_conv")
     zero = F.lit(0).cast("bigint")

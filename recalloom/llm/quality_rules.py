@@ -114,18 +114,17 @@ def ordered(seen: dict[int, int], costs: Sequence[float], rules: Sequence[Rule])
     return out
 
 
-def plan(rows: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Order ``rules`` by what they cost and reject on a sample of about ``sample_rows`` measured rows.
+def plan(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+    """Order ``rules`` by what they cost and reject on a sample of about ``sample_rows`` rows.
 
-    The sample is written once; a rule's cost is the time of a pass over it, less that of a pass
+    Rows are drawn before they are measured, and written once; a rule's cost is the time of a pass over it, less that of a pass
     that only reads the text. Only counts per set of rejecting rules come back, at most one for
     each row of the sample.
     """
-    total = rows.count()
-    share = min(1.0, sample_rows / max(total, 1))
+    share = min(1.0, sample_rows / max(docs.count(), 1))
     # All rows of a table not larger than the sample, else each with the same chance.
-    sample = stored(rows if share == 1.0 else rows.sample(share, 7), "quality-sample")
-    sample = sample.where(~F.col("base_failed"))
+    drawn = docs if share == 1.0 else docs.sample(share, 7)
+    sample = stored(measured(drawn, text_col), "quality-sample").where(~F.col("base_failed"))
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
 
     def seconds(*extra: Column) -> float:
@@ -160,5 +159,4 @@ def judge(rows: DataFrame, rules: Sequence[Rule], text_col: str = "text") -> Dat
 
 def filter_quality(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "text") -> DataFrame:
     """Measure, plan on a sample and judge every row of ``docs``."""
-    rows = measured(docs, text_col)
-    return judge(rows, plan(rows, rules, text_col), text_col)
+    return judge(measured(docs, text_col), plan(docs, rules, text_col), text_col)
