@@ -4,7 +4,7 @@ Writing: one record per row, payload the text in UTF-8. Of rows with equal paylo
 ``min_revisit_bytes`` the one with the largest id is a response, the others are revisits that
 refer to it; smaller payloads are all responses.
 
-Reading: records are checked (version line, headers, length, ending, block digest). After a
+Reading: records are checked (version line, headers, length, ending, digests of block and payload). After a
 failed check the reader searches for the next version line or gzip member that passes, goes on
 from there, and reports the bytes in between as a gap.
 
@@ -87,6 +87,19 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
      .option("maxRecordsPerFile", RECORDS_PER_FILE).text(path))
 
 
+def _payload_fits(headers: dict[str, str], block: bytes) -> bool:
+    """Whether the payload has the digest stated for it; true where none is stated.
+
+    Two records run together may have a block that fits the headers nearest to it.
+    """
+    stated = headers.get("warc-payload-digest", "")
+    if not stated.lower().startswith("sha1:"):
+        return True
+    if headers.get("content-type", "").lower().startswith("application/http"):
+        block = block.partition(b"\r\n\r\n")[2]
+    return stated[5:].upper() == base64.b32encode(hashlib.sha1(block).digest()).decode()
+
+
 def _parse(data: bytes, at: int) -> tuple[int, dict] | str:
     """(end, record) of the record at ``at``, or which check failed."""
     if not re.compile(rb"WARC/1\.[01]\r\n").match(data, at):
@@ -112,6 +125,8 @@ def _parse(data: bytes, at: int) -> tuple[int, dict] | str:
     stated = headers.get("warc-block-digest", "")
     if stated.lower().startswith("sha1:") and stated[5:].upper() != base64.b32encode(hashlib.sha1(block).digest()).decode():
         return "block digest differs"
+    if headers["warc-type"].lower() == "response" and not _payload_fits(headers, block):
+        return "payload digest differs"
     return end + 4, {"headers": headers, "block": block}
 
 
