@@ -72,7 +72,8 @@ def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
 
     Returns ``id, keep_id, group_size, kept, digest``. ``group_size`` counts the rows of the
     batch with that text. Rows whose text the index knew give way to the id stored there; of the
-    others the row with the smallest id stays.
+    others the row with the smallest id stays. A row with the very id that the index holds stays
+    too, so a batch that is run again, after its texts were appended, is decided as before.
     """
     rows = groups_of(docs, id_col, text_col)
     order = F.struct(F.coalesce("id", F.lit(_NULL_ID)).alias("at"), "place")
@@ -84,8 +85,15 @@ def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     new = stored(new, "new-texts")
     index.append(new.select("digest", F.col("least").alias("keep_id")))
     keepers = new.select("digest", F.col("least").alias("keep_id"), "group_size", F.col("first.place").alias("keep_place"))
-    known = (texts.join(new, "digest", "left_anti").select("digest", "group_size")
-             .join(index.table(), "digest").select("digest", "keep_id", "group_size", F.lit(None).cast("bigint").alias("keep_place")))
+    known = stored(texts.join(new, "digest", "left_anti").select("digest", "group_size")
+                   .join(index.table(), "digest").select("digest", "keep_id", "group_size"), "known-texts")
+    if known.isEmpty():
+        known = known.withColumn("keep_place", F.lit(None).cast("bigint"))
+    else:
+        held = known.select(F.col("digest").alias("_digest"), "keep_id")
+        held = (rows.join(held, (F.col("digest") == F.col("_digest")) & F.col("id").eqNullSafe(F.col("keep_id")))
+                .groupBy("digest").agg(F.min("place").alias("keep_place")))
+        known = known.join(held, "digest", "left")
     decided = rows.join(keepers.unionByName(known), "digest")
     return decided.select("id", "keep_id", "group_size", F.coalesce(F.col("place") == F.col("keep_place"), F.lit(False)).alias("kept"), "digest")
 

@@ -214,3 +214,23 @@ def test_salvage_of_gzip_members(spark):
     at = len(members[0]) + len(members[1])
     assert [x[1:3] for x in found if x[0] == "gap"] == [(at, at + len(broken))]
     assert ids(cover(members[0] + data[starts[1]:starts[2]] + members[2][:-3])) == list("01")
+
+
+def test_a_batch_run_again_keeps_the_same_rows(spark, tmp_path):
+    from recalloom.llm import exact_dedup
+
+    docs = spark.createDataFrame([(3, "a  b"), (1, "a b"), (3, "a  b"), (7, "c"), (None, "d"), (None, "d"), (5, None), (5, "")], "doc_id long, text string")
+    index = exact_dedup.run_index(spark)
+
+    def decided(batch):
+        return sorted(map(str, exact_dedup.deduplicate(batch, index).collect()))
+
+    first = decided(docs)
+    # As after a job that was lost between appending its texts and returning its rows.
+    assert decided(docs) == first
+    assert sum("kept=True" in r for r in first) == 4
+    # A smaller id gives way to the one the index holds, which stays when it comes again.
+    again = {(r["id"], r["kept"]) for r in exact_dedup.deduplicate(spark.createDataFrame([(0, "a b"), (1, "a b")], docs.schema), index).collect()}
+    assert again == {(0, False), (1, True)}
+    kept = exact_dedup.kept_rows(docs, index).collect()
+    assert len(kept) == 4
