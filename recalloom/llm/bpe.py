@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ragged import Rows, Words, gather, packs
+from .ragged import Rows, Words, gather, packs, resident
 
 # The byte-level pattern, with white space spelled out as the Unicode property.
 _PIECES = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -193,16 +193,9 @@ def _replaced(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([*batch.columns[:-1], values], names=[*batch.schema.names[:-1], name])
 
 
-# One per Python worker and vocabulary: later tasks find the words of earlier ones.
-_loaded: dict[int, Encoder] = {}
-
-
 def _encoder(source: bytes) -> Encoder:
-    key = hash(source)
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = Encoder(Vocabulary(source))
-    return _loaded[key]
+    """Later tasks of a worker find the words of earlier ones."""
+    return resident(("bpe", hash(source)), lambda: Encoder(Vocabulary(source)))
 
 
 def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_bounded, fresh_name, stored
-from .ragged import Words, packs, windows
+from .ragged import Words, packs, resident, windows
 
 WORDS, SIMILAR = 5, 80
 # Counters of the sketch, as a power of two: one megabyte from each task.
@@ -94,13 +94,8 @@ class Shingler:
         return out
 
 
-_shinglers: list[Shingler] = []
-
-
 def _shingler() -> Shingler:
-    if not _shinglers:
-        _shinglers.append(Shingler())
-    return _shinglers[0]
+    return resident("shingles", Shingler)
 
 
 def _node(shingles: np.ndarray) -> int | None:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh_name
-from .ragged import Rows, Words, packs, windows
+from .ragged import Rows, Words, packs, resident, windows
 
 # Labelled rows that the model learns from, about, and words of all of them together.
 SAMPLE_ROWS = 3000
@@ -303,20 +303,14 @@ def train(labelled: DataFrame) -> bytes:
     return rows.repartition(1).mapInArrow(learn, "model binary").first()[0]
 
 
-_readers: dict[int, Reader] = {}
-
-
 def identify(docs: DataFrame, model: bytes, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """``docs`` with the text replaced by its language and that language's share, 0 to 1."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash(shared.value)
-        if key not in _readers:
-            _readers.clear()
-            _readers[key] = Reader(Model.unpack(shared.value))
+        reader = resident(("language", hash(shared.value)), lambda: Reader(Model.unpack(shared.value)))
         for batch in batches:
-            found = [x for texts in packs(batch.column(batch.num_columns - 1).to_pylist()) for x in _readers[key].read(texts)]
+            found = [x for texts in packs(batch.column(batch.num_columns - 1).to_pylist()) for x in reader.read(texts)]
             values = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *values], names=[*batch.schema.names[:-1], lang_col, score_col])
 

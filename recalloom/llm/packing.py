@@ -25,7 +25,7 @@ from tokenizers import Tokenizer
 
 from .bpe import byte_letters
 from .common import stored
-from .ragged import WINDOW_CHARS, Rows, Words, packs, windows
+from .ragged import WINDOW_CHARS, Rows, Words, packs, resident, windows
 
 # Pieces of a group: what one task packs, the same at every size of the table.
 GROUP_PIECES = 40_000
@@ -100,23 +100,18 @@ class FastTokenizer:
         return out
 
 
-_loaded: dict[int, FastTokenizer] = {}
-
-
 def tokenise(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
     """``doc_id, ids``: little-endian unsigned 32-bit ids in one binary, the end id last."""
     with open(tokenizer_path, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash(shared.value)
-        if key not in _loaded:
-            _loaded[key] = FastTokenizer(shared.value)
+        tokenizer = resident(("tokenizer", hash(shared.value)), lambda: FastTokenizer(shared.value))
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             at = 0
             for texts in packs(batch.column(1).to_pylist()):
-                ids = [x.astype("<u4").tobytes() + end for x in _loaded[key].encode(texts)]
+                ids = [x.astype("<u4").tobytes() + end for x in tokenizer.encode(texts)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
                 at += len(texts)
 

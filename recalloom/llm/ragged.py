@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Sequence
+import gc
+from collections.abc import Callable, Hashable, Iterable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 
 # Text handled at once; bounds what a task holds beside its Arrow batch.
 WINDOW_CHARS = 2 << 20
+# Characters of the words a cache holds.
+CACHED_CHARS = 16 << 20
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -45,25 +49,44 @@ def packs(texts: Iterable, size: int = WINDOW_CHARS, empty="") -> Iterator[list]
         yield held
 
 
+_resident: dict[Hashable, object] = {}
+
+
+def resident(key: Hashable, make: Callable[[], object]):
+    """What a Python worker keeps between tasks: the object of the operator that ran last.
+
+    Workers are reused by all operators; one that moves in frees what the one before has held.
+    """
+    if key not in _resident:
+        _resident.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _resident[key] = make()
+    return _resident[key]
+
+
 class Words(dict):
     """Numbers words as they come; ``fill`` works out the values of the new ones together.
 
-    Emptied when it holds more than ``limit`` words: that costs time, never changes a result.
+    Emptied when it holds more than ``limit`` words or ``CACHED_CHARS`` of them: that costs time,
+    never changes a result.
     """
 
     def __init__(self, fill: Callable[[list[str], int], None], reset: Callable[[], None], limit: int = 500_000) -> None:
         super().__init__()
-        self.fill, self.reset, self.limit, self.new = fill, reset, limit, []
+        self.fill, self.reset, self.limit, self.new, self.chars = fill, reset, limit, [], 0
 
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
         self.new.append(word)
+        self.chars += len(word)
         return n
 
     def numbers(self, words: Sequence[str]) -> np.ndarray:
         """The numbers of ``words``; valid until the next call."""
-        if len(self) > self.limit:
+        if len(self) > self.limit or self.chars > CACHED_CHARS:
             self.clear()
+            self.chars = 0
             self.reset()
         found = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         if self.new:

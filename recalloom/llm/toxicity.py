@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh_name, stored
-from .ragged import Rows, Words, packs, windows
+from .ragged import Rows, Words, packs, resident, windows
 
 # Labelled rows that the machine learns from, about: what the training task holds.
 SAMPLE_ROWS = 12_000
@@ -152,13 +152,8 @@ def fit(term_sets: list[np.ndarray], labels: np.ndarray, epochs: int = 20, rate:
     return machine
 
 
-_terms: list[Terms] = []
-
-
 def _worker_terms() -> Terms:
-    if not _terms:
-        _terms.append(Terms())
-    return _terms[0]
+    return resident("toxicity", Terms)
 
 
 def sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:
