@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.embedding import hashing_embedder
-from ..operators import bm25, dense, fusion, generation, search
-from ..scale import broadcast_if_small
+from ..operators import block_search, bm25, dense, fusion, generation, search
+from ..scale import broadcast_if_small, is_small
+from ..session import checkpoint_dir
+from ..sources.segments import SegmentStore
 from .catalog import once, query, table
 
 DIM = 64
@@ -107,6 +111,64 @@ def search_sparse_topk(spark, sf_dir):
     return sparse_hits(spark, sf_dir).select("query_id", "chunk_id", "score", "rank")
 
 
+def block_hits(spark, sf_dir, k: int = K) -> block_search.BlockHits:
+    """Search by blocks over the postings of the questions' tokens."""
+    asked = questions(spark, sf_dir)
+    terms = bm25.query_terms(asked)
+    matches = bm25.fit(corpus(spark, sf_dir)).matches(terms.select("token").distinct(), is_small(asked, max_bytes=config.QUERY_TEXT_MAX_BYTES))
+    return block_search.search_blocks(block_search.build_blocks(matches), terms, k)
+
+
+@query("search_sparse_blocks", f"""WITH {MODEL}, {sparse_sql(K)}
+SELECT query_id, chunk_id, score, rank FROM sparse""")
+def search_sparse_blocks(spark, sf_dir):
+    """The lists of ``search_sparse_topk``, with blocks left out by their bounds."""
+    return block_hits(spark, sf_dir).hits
+
+
+@query("sparse_block_bounds", f"""WITH {MODEL}, {sparse_sql(K)}
+SELECT query_id, count(DISTINCT chunk_id) AS chunks, max(score) AS best, count(DISTINCT token) AS tokens,
+       true AS bounded FROM (SELECT query_id, token FROM {query_sql()} SEMI JOIN voc USING (token)) JOIN sparse_all USING (query_id)
+GROUP BY query_id""")
+def sparse_block_bounds(spark, sf_dir):
+    """Per question: chunks sharing a token, their best score, tokens; and that no bound is below a score of its block."""
+    asked = questions(spark, sf_dir)
+    terms = bm25.query_terms(asked)
+    small = is_small(asked, max_bytes=config.QUERY_TEXT_MAX_BYTES)
+    index = block_search.build_blocks(bm25.fit(corpus(spark, sf_dir)).matches(terms.select("token").distinct(), small))
+    # Without any list to fill there is no floor: every block is scored.
+    asked_terms = terms.join(index.maxima.select("token").distinct(), "token", "left_semi")
+    bounds = index.maxima.join(asked_terms, "token").groupBy("query_id", "block").agg(F.sum(F.col("qw") * F.col("top")).alias("bound"))
+    scores = index.postings.join(asked_terms, "token").groupBy("query_id", "block", "chunk_id").agg(
+        F.round(F.sum(F.col("qw") * F.col("weight")), 6).alias("score"))
+    best = scores.groupBy("query_id", "block").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("chunks"))
+    tokens = asked_terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("tokens"))
+    return best.join(bounds, ["query_id", "block"]).groupBy("query_id").agg(
+        F.sum("chunks").alias("chunks"), F.max("score").alias("best"),
+        F.bool_and(F.col("bound") + block_search.SLACK >= F.col("score")).alias("bounded")).join(tokens, "query_id")
+
+
+CHANGED = """(SELECT d.doc_id, CASE WHEN quality = 0 THEN text || ' ' || source ELSE text END AS text
+      FROM documents d LEFT JOIN labels USING (doc_id) WHERE coalesce(toxic, 0) <> 1)"""
+CHANGED_MODEL = MODEL.replace("doc_id AS chunk_id", "doc_id::VARCHAR AS chunk_id").replace("FROM documents)", f"FROM {CHANGED})", 1)
+
+
+@query("search_incremental", f"""WITH {CHANGED_MODEL}, {sparse_sql(K)}
+SELECT query_id, chunk_id, score, rank FROM sparse""")
+def search_incremental(spark, sf_dir):
+    """Search a standing index after changes: all documents come in, those of poor quality again with
+    their source added, and toxic ones are deleted."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    store = SegmentStore(spark, f"{checkpoint_dir(spark)}/standing-index-{uuid.uuid4().hex}", columns="")
+    marked = docs.select("doc_id", "text", "source").join(broadcast_if_small(labels), "doc_id")
+    key = F.col("doc_id").cast("string").alias("chunk_id")
+    store.upsert(docs.select(key, F.col("text").alias("index_text")))
+    store.upsert(marked.where("quality = 0").select(key, F.concat("text", F.lit(" "), "source").alias("index_text")))
+    store.delete(marked.where("toxic = 1").select(key))
+    hits = bm25.sparse_topk(store.open().sparse, questions(spark, sf_dir), K)
+    return hits.select("query_id", "chunk_id", "score", "rank")
+
+
 @query("search_dense_topk", f"""WITH e AS (
   SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
 m AS (SELECT label AS query_id, i, avg(x) AS y FROM e GROUP BY ALL),

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .config import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS
+from .session import checkpoint_dir
 
 
 def _measured(df: DataFrame) -> tuple[int, int]:
@@ -86,3 +88,8 @@ def written(df: DataFrame, path: str, by: Sequence[str] = ()) -> DataFrame:
     back = df.sparkSession.read.parquet(path)
     # Partition values come back with inferred types; keep those they had.
     return back.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in df.schema])
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write a step of a query below the shared checkpoint folder and go on from it."""
+    return written(df, f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
