@@ -3,71 +3,99 @@
 from __future__ import annotations
 
 from collections import Counter
-from difflib import SequenceMatcher
+from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-# Pairs of texts whose comparison table would exceed this many cells are aligned in
-# another, slower way with the same result.
-MAX_TABLE_CELLS = 1 << 25
-
-
-def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-
-
-def _longest_run(equal: np.ndarray) -> tuple[int, int, int]:
-    """Start row, start column and length of the longest diagonal run of True; the first
-    one by row, then column. Runs are found by doubling their length."""
-    if not equal.size or not equal.any():
-        return 0, 0, 0
-    doubled = [equal]
-    while True:
-        size, last = 1 << (len(doubled) - 1), doubled[-1]
-        if min(last.shape) <= size:
-            break
-        longer = last[:-size, :-size] & last[size:, size:]
-        if not longer.any():
-            break
-        doubled.append(longer)
-    size, found = 1 << (len(doubled) - 1), doubled[-1]
-    for p in range(len(doubled) - 2, -1, -1):
-        rows, cols = found.shape[0] - (1 << p), found.shape[1] - (1 << p)
-        if rows <= 0 or cols <= 0:
+# Stands for a character that starts no block; it is equal to none.
+_BREAK = ""
+
+
+def _automaton(chars: Sequence[str]) -> tuple[list[dict], list[int], list[int], list[int]]:
+    """Suffix automaton: moves, links, lengths of all substrings, and where each first ends."""
+    moves: list[dict] = [{}]
+    link, length, first, last = [-1], [0], [-1], 0
+    for at, ch in enumerate(chars):
+        new = len(moves)
+        moves.append({})
+        length.append(at + 1)
+        first.append(at)
+        link.append(0)
+        state = last
+        while state >= 0 and ch not in moves[state]:
+            moves[state][ch] = new
+            state = link[state]
+        if state >= 0:
+            old = moves[state][ch]
+            if length[old] == length[state] + 1:
+                link[new] = old
+            else:
+                copy = len(moves)
+                moves.append(dict(moves[old]))
+                length.append(length[state] + 1)
+                first.append(first[old])
+                link.append(link[old])
+                while state >= 0 and moves[state].get(ch) == old:
+                    moves[state][ch] = copy
+                    state = link[state]
+                link[old] = link[new] = copy
+        last = new
+    return moves, link, length, first
+
+
+def _runs(chars: Sequence[str], automaton) -> Iterator[tuple[int, int, int]]:
+    """(size, start in the automaton's text, start here) of common runs, none shorter than one before it.
+
+    Only ends are given at which the longest run so far is reached or passed.
+    """
+    moves, link, length, first = automaton
+    state = size = best = 0
+    for at, ch in enumerate(chars):
+        while state and ch not in moves[state]:
+            state = link[state]
+            size = length[state]
+        to = moves[state].get(ch)
+        if to is None:
+            size = 0
             continue
-        longer = found[:rows, :cols] & doubled[p][size:size + rows, size:size + cols]
-        if longer.any():
-            size, found = size + (1 << p), longer
-    i, j = divmod(int(found.argmax()), found.shape[1])
-    return i, j, size
+        state, size = to, size + 1
+        if size >= best:
+            best = size
+            yield size, first[state] - size + 1, at - size + 1
+
+
+def _longest_block(a: Sequence[str], b: Sequence[str]) -> tuple[int, int, int]:
+    """Start in ``a``, start in ``b`` and size of the longest common run; of several the first in
+    ``a``, then in ``b``. Takes time and memory in proportion to the texts; the automaton is that of
+    the shorter one."""
+    if len(a) <= len(b):
+        found = ((-size, i, j) for size, i, j in _runs(b, _automaton(a)))
+    else:
+        found = ((-size, i, j) for size, j, i in _runs(a, _automaton(b)))
+    size, i, j = min(found, default=(0, 0, 0))
+    return i, j, -size
 
 
 def matched_chars(a: str, b: str, autojunk: bool = True) -> int:
     """Total size of the matching blocks of two texts: the longest common block, then the
     same left and right of it. With ``autojunk`` a character that makes up more than one
     hundredth of a text of 200 or more only extends blocks and starts none."""
-    if len(a) * len(b) > MAX_TABLE_CELLS:
-        blocks = SequenceMatcher(None, a, b, autojunk=autojunk).get_matching_blocks()
-        return sum(block.size for block in blocks)
-    ca, cb = _codes(a), _codes(b)
-    same = ca[:, None] == cb[None, :]
-    seeds = same
+    seeds: Sequence[str] = b
     if autojunk and len(b) >= 200:
-        values, counts = np.unique(cb, return_counts=True)
-        seeds = same & ~np.isin(cb, values[counts > len(b) // 100 + 1])[None, :]
+        common = {ch for ch, n in Counter(b).items() if n > len(b) // 100 + 1}
+        seeds = [_BREAK if ch in common else ch for ch in b]
     total, todo = 0, [(0, len(a), 0, len(b))]
     while todo:
         a0, a1, b0, b1 = todo.pop()
-        i, j, size = _longest_run(seeds[a0:a1, b0:b1])
+        i, j, size = _longest_block(a[a0:a1], seeds[b0:b1])
         i, j = i + a0, j + b0
-        while i > a0 and j > b0 and same[i - 1, j - 1]:
+        while i > a0 and j > b0 and a[i - 1] == b[j - 1]:
             i, j, size = i - 1, j - 1, size + 1
-        while i + size < a1 and j + size < b1 and same[i + size, j + size]:
+        while i + size < a1 and j + size < b1 and a[i + size] == b[j + size]:
             size += 1
         if size:
             total += size

@@ -11,7 +11,7 @@ from ..scale import broadcast_if_small
 from .catalog import once, query, table
 from .retrieval_queries import (MODEL, MQ_ROUTES, corpus, fused_sql_ranked, half_rewrites, questions,
                                 sparse_hits, sparse_sql, tokens_sql)
-from .text_queries import DOCS_MD, SECTIONS, documents_with_headings
+from .text_queries import DOCS_MD, SECTIONS, documents_with_headings, window_sql
 
 # Two settings of the sparse model stand for two strategies.
 STRATEGIES = {"default": {}, "no_length_norm": {"b": 0.0}}
@@ -131,7 +131,58 @@ def window_chunks(spark, sf_dir, size: int = 1100) -> DataFrame:
         "chunk_id", F.shiftleft("doc_id", 20) + F.col("ord"))
 
 
-@query("recall_coverage")
+def blocks_sql(pairs: str) -> str:
+    """CTEs ending in ``covered``: pid and the share of ``a`` in matching blocks with ``b``, for ``pairs`` (pid, a, b, junk).
+
+    Equal characters lie on diagonals; a run on one is a common block. The longest run inside a
+    range is taken, the first by row and column, and the ranges left and right of it go on.
+    """
+    island = "SELECT pid, d, min(i) AS s, max(i) AS e FROM (SELECT *, i - row_number() OVER (PARTITION BY pid, d ORDER BY i) AS g FROM {}) GROUP BY pid, d, g"
+    return f"""ca AS (SELECT pid, generate_subscripts(string_split(a, ''), 1) - 1 AS i, unnest(string_split(a, '')) AS ch FROM {pairs} WHERE a <> ''),
+cb AS (SELECT pid, generate_subscripts(string_split(b, ''), 1) - 1 AS j, unnest(string_split(b, '')) AS ch FROM {pairs} WHERE b <> ''),
+pop AS (SELECT pid, ch FROM cb JOIN {pairs} USING (pid) WHERE junk AND length(b) >= 200
+        GROUP BY pid, ch, b HAVING count(*) > length(b) // 100 + 1),
+eq AS (SELECT pid, i - j AS d, i, pop.ch IS NULL AS seed FROM ca JOIN cb USING (pid, ch) LEFT JOIN pop USING (pid, ch)),
+er AS ({island.format('eq')}), sr AS ({island.format('(FROM eq WHERE seed)')}),
+x AS (SELECT er.pid, er.d, er.s AS es, er.e AS ee, sr.s, sr.e FROM er JOIN sr ON sr.pid = er.pid AND sr.d = er.d AND sr.s BETWEEN er.s AND er.e
+      UNION ALL SELECT pid, d, s, e, NULL, NULL FROM er SEMI JOIN pop USING (pid)),
+rec AS (SELECT pid, false AS done, 0::BIGINT AS a0, length(a)::BIGINT AS a1, 0::BIGINT AS b0, length(b)::BIGINT AS b1, d, s, e, es, ee
+        FROM x JOIN {pairs} USING (pid)
+  UNION ALL
+  SELECT pid, w.done, w.a0, w.a1, w.b0, w.b1, d, CASE WHEN s IS NOT NULL THEN greatest(s, w.a0, w.b0 + d) END,
+         CASE WHEN s IS NOT NULL THEN least(e, w.a1 - 1, w.b1 - 1 + d) END, es, ee FROM (
+    SELECT pid, d, s, e, es, ee, unnest([
+             {{'done': true, 'use': place = 1, 'a0': t.l, 'a1': t.h + 1, 'b0': t.l - t.d, 'b1': t.h + 1 - t.d}},
+             {{'done': false, 'use': true, 'a0': a0, 'a1': t.l, 'b0': b0, 'b1': t.l - t.d}},
+             {{'done': false, 'use': true, 'a0': t.h + 1, 'a1': a1, 'b0': t.h + 1 - t.d, 'b1': b1}}]) AS w
+    FROM (SELECT *, first_value({{'d': d, 'l': greatest(es, a0, b0 + d), 'h': least(ee, a1 - 1, b1 - 1 + d), 'size': size}}) OVER o AS t, row_number() OVER o AS place
+          FROM (SELECT *, CASE WHEN s IS NOT NULL THEN e - s + 1 WHEN d = a0 - b0 AND a0 BETWEEN es AND ee THEN 0 ELSE -1 END AS size FROM rec WHERE NOT done)
+          WINDOW o AS (PARTITION BY pid, a0, a1, b0, b1 ORDER BY size DESC, coalesce(s, a0), coalesce(s, a0) - d))
+    WHERE t.size >= 0)
+  WHERE w.use AND (w.done OR (w.a0 < w.a1 AND w.b0 < w.b1
+                              AND greatest(coalesce(s, es), w.a0, w.b0 + d) <= least(coalesce(e, ee), w.a1 - 1, w.b1 - 1 + d)))),
+covered AS (SELECT p.pid, coalesce(sum(a1 - a0) FILTER (done), 0) / greatest(length(any_value(a)), 1) AS coverage
+            FROM {pairs} p LEFT JOIN rec USING (pid) GROUP BY p.pid)"""
+
+
+WINDOW_MODEL = MODEL.replace("doc_id AS chunk_id", "(doc_id << 20) + ord AS chunk_id").replace(
+    tokens_sql("text"), tokens_sql("index_text")).replace("FROM documents)", "FROM wc)", 1)
+_ALNUM = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+
+
+@query("recall_coverage", f"""WITH RECURSIVE wc AS ({window_sql(1100, 0)}), {WINDOW_MODEL}, {sparse_sql(5)}, {TEST_SET},
+h AS (SELECT query_id, rank, gold, ref, source, {_ALNUM.format('gold')} AS a, {_ALNUM.format('index_text')} AS b
+      FROM sparse JOIN wc ON sparse.chunk_id = (wc.doc_id << 20) + wc.ord JOIN documents d ON d.doc_id = wc.doc_id JOIN ts USING (query_id)),
+pr AS (SELECT row_number() OVER () AS pid, * FROM (
+  SELECT query_id, rank, a, b, true AS junk FROM h
+  UNION ALL SELECT query_id, 0, any_value(a), string_agg(b, '' ORDER BY rank), false FROM h GROUP BY query_id)),
+{blocks_sql('pr')},
+ok AS (SELECT query_id, rank, coverage >= 0.7 AS ok FROM pr JOIN covered USING (pid)),
+f AS (SELECT query_id, coalesce(min(rank) FILTER (contains(source, ref) OR contains(ref, source)), 0)::INTEGER AS file_rank FROM h GROUP BY query_id)
+SELECT 'bm25' AS pipeline, 5::INTEGER AS top_k, query_id, coalesce(min(rank) FILTER (ok AND rank > 0), 0)::INTEGER AS hit_rank,
+       any_value(file_rank) AS file_rank, bool_or(ok AND rank > 0)::INTEGER AS single, (any_value(file_rank) > 0)::INTEGER AS "file",
+       bool_or(ok AND rank > 0)::INTEGER AS merged, bool_or(ok AND rank = 0)::INTEGER AS concat
+FROM ok JOIN f USING (query_id) GROUP BY query_id""")
 def recall_coverage(spark, sf_dir):
     """All four recall flags by matching blocks, on retrieved chunks."""
     chunks = window_chunks(spark, sf_dir)

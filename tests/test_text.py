@@ -73,7 +73,7 @@ def test_coverage_floor_keeps_every_flag():
             assert (coverage.block_coverage(a, b, junk, 0.7) >= 0.7) == (plain >= 0.7)
 
 
-def test_matched_chars_equals_difflib(monkeypatch):
+def test_matched_chars_equals_difflib():
     import random
     rng = random.Random(11)
     for n in range(400):
@@ -86,5 +86,40 @@ def test_matched_chars_equals_difflib(monkeypatch):
         for junk in (True, False):
             want = sum(m.size for m in SequenceMatcher(None, a, b, junk).get_matching_blocks())
             assert coverage.matched_chars(a, b, junk) == want, (a, b, junk)
-    monkeypatch.setattr(coverage, "MAX_TABLE_CELLS", 1)
     assert coverage.matched_chars("abcd", "xbcx", False) == 2
+
+
+def test_long_texts_take_memory_in_proportion():
+    import random
+    import tracemalloc
+    rng = random.Random(3)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(200_000))
+    # The shorter text is a part of the longer one with one letter changed in the middle.
+    other = text[:90_000] + "#" + text[90_001:180_000]
+    tracemalloc.start()
+    assert coverage.matched_chars(other, text, False) == 179_999
+    used = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert used < 4000 * len(text)
+
+
+def test_blocks_as_recursive_sql_equal_difflib():
+    import random
+
+    import duckdb
+
+    from recalloom.plans import evaluation_queries
+
+    rng, rows = random.Random(4), []
+    for n in range(60):
+        letters = "abcdefghijklmnop"[:rng.choice([2, 4, 8, 16])]
+        a = "".join(rng.choice(letters) for _ in range(rng.randint(0, 40)))
+        rows.append((n, a, "".join(rng.choice(letters) for _ in range(rng.randint(0, rng.choice([20, 300])))), n % 2 == 0))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pr (pid INT, a VARCHAR, b VARCHAR, junk BOOLEAN)")
+    con.executemany("INSERT INTO pr VALUES (?, ?, ?, ?)", rows)
+    got = dict(con.execute(f"WITH RECURSIVE {evaluation_queries.blocks_sql('pr')} SELECT pid, coverage FROM covered").fetchall())
+    for n, a, b, junk in rows:
+        want = sum(m.size for m in SequenceMatcher(None, a, b, junk).get_matching_blocks()) / max(len(a), 1)
+        assert abs(got[n] - want) < 1e-9
+        assert abs(coverage.block_coverage(a, b, junk) - want) < 1e-9
