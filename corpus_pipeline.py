@@ -22,13 +22,20 @@ TOXIC = 0.5
 
 
 def language_id_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter go; those that switch language stay, however small the largest share."""
+    """Documents without a letter go; those that switch language stay, however small the largest share.
+
+    A model that has learned no language rejects nothing.
+    """
+    model = language_model(docs)
+    if not langid.Model.unpack(model).labels:
+        return docs
     copy, lang, share = (fresh_name(docs.columns, c) for c in ("_copy", "_language", "_share"))
-    found = langid.identify(docs.withColumn(copy, F.col("text")), language_model(docs), copy, lang, share)
+    found = langid.identify(docs.withColumn(copy, F.col("text")), model, copy, lang, share)
     return found.where(F.col(lang) != langid.UNKNOWN).select(*docs.columns)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored at or above ``TOXIC`` go."""
     copy, score = (fresh_name(docs.columns, c) for c in ("_copy", "_score"))
     scored = toxicity.score(docs.withColumn(copy, F.col("text")), toxicity_machine(spark, docs, sf_dir), copy, score)
     return scored.where(F.col(score) < TOXIC).select(*docs.columns)
@@ -45,6 +52,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents left, packed into sequences of at most 2048 tokens; one row per piece."""
     return packed_documents(docs)
 
 
