@@ -50,6 +50,8 @@ _SLICE = 1 << 12
 # Regions beyond STAR members are first measured against PIVOTS pivots and, in ROUNDS rounds, each
 # time twice as many. Up to LEAF members they are then compared pair by pair; larger ones are divided.
 STAR, LEAF, PIVOTS, ROUNDS = 64, 4096, 16, 2
+# Members of a region that meet as many others in one task.
+BLOCK = 256
 
 # Bits of the mark of a set: each shingle sets one. Marks that differ in many bits come from sets that differ.
 MARK_BITS = 1024
@@ -225,12 +227,11 @@ class _Space:
         self.sets: DataFrame | None = None
         self.roots: DataFrame | None = None
 
-    def measure(self, pairs: DataFrame, all_distances: bool = False) -> None:
+    def measure(self, pairs: DataFrame, all_distances: bool = False, screened: bool = False) -> None:
         """Links and distances of the pairs (a < b) that have none yet.
 
-        Each bit in which two marks differ stands for a shingle that one set has alone. Where more
-        of them differ than linked sets may, the pair is not linked and its distance stays null,
-        unless ``all_distances`` are asked for.
+        Where the marks rule a link out (``_marks_allow``) the pair is not linked and its distance
+        stays null, unless ``all_distances`` are asked for; ``screened`` pairs have passed that.
         """
         pairs = pairs.select("a", "b").distinct()
         if self.measured is not None:
@@ -238,15 +239,12 @@ class _Space:
             pairs = pairs.join(known, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         far = None
-        if not all_distances:
+        if not all_distances and not screened:
             ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
             marks = stored(self.names.join(ends, "node", "left_semi").groupBy("node").agg(F.first("mark").alias("mark"), F.first("n").alias("n")), "marks")
-            differ = F.aggregate(F.zip_with("mark_a", "mark_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda c, n: c + n)
-            # s (n + m + d) <= n + m - d for d shingles in one set only and similarity s.
-            close = F.col("differ") * (100 + SIMILAR) <= (100 - SIMILAR) * (F.col("n_a") + F.col("n_b"))
             seen = (pairs.join(marks.select(F.col("node").alias("a"), F.col("mark").alias("mark_a"), F.col("n").alias("n_a")), "a")
                     .join(marks.select(F.col("node").alias("b"), F.col("mark").alias("mark_b"), F.col("n").alias("n_b")), "b")
-                    .withColumn("differ", differ).select("a", "b", close.alias("close")))
+                    .select("a", "b", _marks_allow("mark_a", "mark_b", "n_a", "n_b").alias("close")))
             seen = stored(seen, "seen")
             far = seen.where("not close").select("a", "b", F.lit(False).alias("linked"), F.lit(None).cast("double").alias("distance"))
             pairs = seen.where("close").select("a", "b")
@@ -277,12 +275,22 @@ class _Space:
         if done.where("linked").limit(1).count():
             self.roots = components(stored(self.measured.where("linked"), "links"))
 
+    def with_marks(self, nodes: DataFrame) -> DataFrame:
+        return nodes.join(self.names.groupBy("node").agg(F.first("mark").alias("mark")), "node")
+
     def with_roots(self, nodes: DataFrame) -> DataFrame:
         if self.roots is None:
             return nodes.withColumn("root", F.col("node"))
         return nodes.join(self.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
+def _blocks(members: DataFrame, own: str, other: str) -> DataFrame:
+    """Members in blocks of about ``BLOCK`` by a hash, once for every block they are held against, so no region is one task."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    return (members.withColumn(own, F.pmod(F.xxhash64("node", F.lit("block")), blocks).cast("int"))
+            .withColumn(other, F.explode(F.sequence(F.lit(0), blocks - 1))))
+
+
 def _pair(x: str, y: str):
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
@@ -293,6 +301,13 @@ def _may_link(n: str, m: str, rest: str, other: str):
     return (100 * F.least(n, m) >= SIMILAR * F.greatest(n, m)) & (100 * least >= SIMILAR * (F.col(n) + F.col(m) - least))
 
 
+def _marks_allow(x: str, y: str, n: str, m: str):
+    """By marks: each bit in which two differ stands for a shingle that one set has alone."""
+    differ = sum(F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(MARK_BITS // 64))
+    # s (n + m + d) <= n + m - d for d shingles in one set only and similarity s.
+    return differ * (100 + SIMILAR) <= (100 - SIMILAR) * (F.col(n) + F.col(m))
+
+
 def resolve(space: _Space, regions: DataFrame) -> None:
     """Compare the members (region, node, n, rest, distance) of stored regions until each is one
     component or has no pair left. ``distance`` is that to a former pivot, if it was measured."""
@@ -302,31 +317,38 @@ def resolve(space: _Space, regions: DataFrame) -> None:
         members = space.with_roots(regions)
         state = (members.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
                  .where("low < high").select("region", "size"))
-        open_members = stored(members.join(state, "region"), "open-regions")
+        open_members = members.join(broadcast_if_bounded(stored(state, "open")), "region")
+        open_members = stored(space.with_marks(open_members), "open-regions")
         if not open_members.limit(1).count():
             return
         # First all but the smallest regions are measured against some pivots, which joins most of
         # what belongs together; then only pairs of different components are left to compare.
         leaf = LEAF if level >= ROUNDS else STAR
         small, large = open_members.where(F.col("size") <= leaf), open_members.where(F.col("size") > leaf)
-        # Each member is held against leaf others at most, and what these conditions leave is measured.
-        x, y = small.alias("x"), small.alias("y")
+        # Only what none of these conditions rules out becomes a pair.
+        x, y = _blocks(small, "i", "j").alias("x"), _blocks(small, "j", "i").alias("y")
         near_enough = F.abs(F.col("x.distance") - F.col("y.distance")) <= reach + slack
-        pairs = (x.join(y, F.col("x.region") == F.col("y.region"))
-                 .where((F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
-                        & _may_link("x.n", "y.n", "x.rest", "y.rest") & F.coalesce(near_enough, F.lit(True)))
+        pairs = (x.join(y, (F.col("x.region") == F.col("y.region")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+                        & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
+                        & _may_link("x.n", "y.n", "x.rest", "y.rest") & F.coalesce(near_enough, F.lit(True))
+                        & _marks_allow("x.mark", "y.mark", "x.n", "y.n"))
                  .select(*_pair("x.node", "y.node")))
-        rank = Window.partitionBy("region").orderBy(F.xxhash64("node", F.lit(level)), "node")
-        pivots = large.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= PIVOTS << level)
-        pivots = stored(pivots.select("region", F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("rest").alias("pivot_rest")), "pivots")
-        to_pivot = large.join(pivots, "region").where("node <> pivot")
+        # Pivots come from as many components as there are: what is connected needs no comparing.
+        one = F.struct(F.xxhash64("node", F.lit(level)).alias("at"), "node", "n", "rest", "mark")
+        each = large.groupBy("region", "root").agg(F.min(one).alias("one")).select("region", F.col("root").alias("pivot_root"), "one.*")
+        rank = Window.partitionBy("region").orderBy("at", "node")
+        pivots = each.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= PIVOTS << level)
+        pivots = stored(pivots.select("region", "pivot_root", F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("rest").alias("pivot_rest"),
+                                      F.col("mark").alias("pivot_mark")), "pivots")
+        to_pivot = large.join(broadcast_if_bounded(pivots), "region").where("node <> pivot")
         if level < ROUNDS:
-            space.measure(pairs.unionByName(to_pivot.where(_may_link("n", "m", "rest", "pivot_rest")).select(*_pair("node", "pivot"))).distinct())
+            possible = (F.col("root") != F.col("pivot_root")) & _may_link("n", "m", "rest", "pivot_rest") & _marks_allow("mark", "pivot_mark", "n", "m")
+            space.measure(pairs.unionByName(to_pivot.where(possible).select(*_pair("node", "pivot"))), screened=True)
             regions = stored(large.select("region", "node", "n", "rest", "distance")
                              .join(pivots.select("region", F.col("pivot").alias("node")), ["region", "node"], "left_anti"), "regions")
             level += 1
             continue
-        space.measure(pairs)
+        space.measure(pairs, screened=True)
         if pivots.limit(1).count():
             space.measure(to_pivot.select(*_pair("node", "pivot")), all_distances=True)
         if not pivots.limit(1).count():
