@@ -8,15 +8,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, ship
 
 # A side is broadcast only when its measured size stays below this; beyond it the join shuffles.
 BROADCAST_BYTES = 16 << 20
 
+# Whole texts go to Python tasks in Arrow batches of about this size, held twice by the JVM and by Python.
+ARROW_BYTES = 4 << 20
+
 # The white space of the contracts: blank and the controls 9 to 13.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+def ready(spark: SparkSession) -> SparkSession:
+    """The session with this package on its executors and bounded Arrow batches; a size set by the submitter stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.sparkContext.getConf().contains(key):
+        spark.conf.set(key, str(ARROW_BYTES))
+    return ship(spark)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the shared checkpoint folder of the session."""
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"

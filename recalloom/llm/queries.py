@@ -8,9 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
 from . import ann, bpe, exact_dedup, jaccard_join, langid, line_dedup, packing, toxicity, url_filter, warc
-from .common import crc_mod, scratch
+from .common import crc_mod, ready, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -19,7 +18,7 @@ ORACLE: dict[str, str] = {}
 def query(name: str, sql: str | None = None):
     def add(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(ship(spark), sf_dir)
+            return fn(ready(spark), sf_dir)
 
         QUERIES[name] = run
         if sql is not None:

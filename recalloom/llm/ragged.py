@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Hashable, Iterable, Iterator, Sequence
 
@@ -49,6 +50,15 @@ def packs(texts: Iterable, size: int = WINDOW_CHARS, empty="") -> Iterator[list]
         yield held
 
 
+def give_back() -> None:
+    """Return to the system what Python, Arrow and the C library hold free for later."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
 _resident: dict[Hashable, object] = {}
 
 
@@ -59,8 +69,7 @@ def resident(key: Hashable, make: Callable[[], object]):
     """
     if key not in _resident:
         _resident.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+        give_back()
         _resident[key] = make()
     return _resident[key]
 
