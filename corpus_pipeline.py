@@ -11,9 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recalloom.llm import exact_dedup, jaccard_join, langid, toxicity
-from recalloom.llm.common import fresh_name, stored
+from recalloom.llm.common import fresh_name, ready, stored
 from recalloom.llm.queries import language_model, packed_documents, toxicity_machine
-from recalloom.session import ship
 
 ORACLE_SQL = None
 
@@ -66,7 +65,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    docs = ready(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
