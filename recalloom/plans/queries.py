@@ -1,6 +1,6 @@
 """All named queries."""
 
-from . import evaluation_queries, retrieval_queries, text_queries  # noqa: F401
+from . import evaluation_queries, retrieval_queries, segmentation_queries, text_queries  # noqa: F401
 from .catalog import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
