@@ -9,6 +9,7 @@ from .. import config
 from ..functions.segmentation import SCALE
 from ..operators import bm25, segmentation
 from .catalog import once, query, table
+from .retrieval_queries import MODEL, weight_sql
 
 LEAST = 2
 
@@ -40,36 +41,33 @@ kept AS (SELECT * FROM counted WHERE texts >= {segmentation.WORD_SHARE} * (SELEC
 total AS (SELECT sum(n) AS total FROM kept),
 words AS (SELECT word, texts, n, round(ln(n / total) * {SCALE})::BIGINT AS weight FROM kept, total)"""
 
-# The likeliest path of every different run of the table ``asked (id, text)``, from its end backwards. The state of a run
-# holds for every distance from the end the best weight and the length of the first word; of equal weights the longest wins.
+# The likeliest path of every different run of the table ``asked (id, text)``, folded from its end backwards. The state of a
+# run holds for every distance from the end the best weight and the first word; of equal weights the longest wins.
 PATHS = f"""spelt AS (SELECT id, unnest({runs_sql(r"regexp_replace(text, '[ \x09-\x0D]+', '', 'g')")}) AS run,
     generate_subscripts({runs_sql(r"regexp_replace(text, '[ \x09-\x0D]+', '', 'g')")}, 1) AS place FROM asked),
 runs AS (SELECT DISTINCT run, length(run) AS size FROM spelt),
-places AS (SELECT run, size, unnest(range(1, size + 1)) AS at FROM runs),
-spans AS (SELECT run, size, at, unnest(range(1, least(size - at + 1, (SELECT max(length(word)) FROM words)) + 1)) AS len FROM places),
-edges AS (SELECT run, size - at + 1 AS distance, len, weight, true AS known FROM spans JOIN words ON word = run[at:at + len - 1]
+places AS (SELECT run, size, unnest(range(1, size + 1)) AS spot FROM runs),
+spans AS (SELECT run, size, spot, unnest(range(1, least(size - spot + 1, (SELECT max(length(word)) FROM words)) + 1)) AS len FROM places),
+edges AS (SELECT run, size - spot + 1 AS distance, len, weight, true AS known FROM spans JOIN words ON word = run[spot:spot + len - 1]
   UNION ALL
-  SELECT run, size - at + 1, 1, (SELECT round(ln(1 / total) * {SCALE})::BIGINT FROM total), false FROM places
-  WHERE run[at] NOT IN (SELECT word FROM words)),
+  SELECT run, size - spot + 1, 1, (SELECT round(ln(1 / total) * {SCALE})::BIGINT FROM total), false FROM places
+  WHERE run[spot] NOT IN (SELECT word FROM words)),
 choices AS (SELECT run, distance, list({{'len': len, 'weight': weight, 'known': known}} ORDER BY len) AS options FROM edges GROUP BY ALL),
-walk AS (SELECT run, size, 0 AS distance, [0::BIGINT] AS best, []::STRUCT(len BIGINT, known BOOLEAN)[] AS first FROM runs
+solved AS (SELECT run, list_reduce(list({{'best': []::BIGINT[], 'first': []::STRUCT(len BIGINT, weight BIGINT, known BOOLEAN)[], 'options': options}} ORDER BY distance),
+    lambda s, o: {{'best': list_append(s.best, list_max(list_transform(o.options, lambda x: x.weight + s.best[len(s.best) - x.len + 1]))),
+      'first': list_append(s.first, list_last(list_filter(o.options, lambda x: x.weight + s.best[len(s.best) - x.len + 1]
+        = list_max(list_transform(o.options, lambda y: y.weight + s.best[len(s.best) - y.len + 1]))))), 'options': o.options}},
+    {{'best': [0::BIGINT], 'first': []::STRUCT(len BIGINT, weight BIGINT, known BOOLEAN)[], 'options': []::STRUCT(len BIGINT, weight BIGINT, known BOOLEAN)[]}}).first AS first
+  FROM choices GROUP BY run),
+heads AS (SELECT run, unnest(first).len AS len, unnest(first).known AS known, generate_subscripts(first, 1) AS distance FROM solved),
+trace AS (SELECT run, size, size AS distance FROM runs
   UNION ALL
-  SELECT run, size, distance, list_append(best, top), list_append(first, {{'len': o.len, 'known': o.known}})
-  FROM (SELECT *, list_last(list_filter(options, lambda x: x.weight + best[distance - x.len + 1] = top)) AS o
-    FROM (SELECT w.run, w.size, c.distance, w.best, w.first, c.options,
-            list_max(list_transform(c.options, lambda x: x.weight + w.best[c.distance - x.len + 1])) AS top
-          FROM walk w JOIN choices c ON c.run = w.run AND c.distance = w.distance + 1))),
-solved AS (SELECT run, size, first FROM walk WHERE distance = size),
-trace AS (SELECT run, size, first, size AS left_over, []::STRUCT(word VARCHAR, known BOOLEAN)[] AS path FROM solved
-  UNION ALL
-  SELECT run, size, first, left_over - first[left_over].len,
-    list_append(path, {{'word': run[size - left_over + 1:size - left_over + first[left_over].len], 'known': first[left_over].known}})
-  FROM trace WHERE left_over > 0),
-steps AS (SELECT run, unnest(path) AS s, generate_subscripts(path, 1) AS i FROM trace WHERE left_over = 0),
-pieces AS (SELECT run, i, s.word AS word, s.known AS known, sum(CASE WHEN s.known OR coalesce(prior, true) THEN 1 ELSE 0 END)
-    OVER (PARTITION BY run ORDER BY i) AS piece
-  FROM (SELECT *, lag(s.known) OVER (PARTITION BY run ORDER BY i) AS prior FROM steps)),
-joined AS (SELECT run, piece, string_agg(word, '' ORDER BY i) AS word FROM pieces GROUP BY ALL),
+  SELECT run, size, distance - len FROM trace JOIN heads USING (run, distance) WHERE distance > len),
+steps AS (SELECT run, distance, run[size - distance + 1:size - distance + len] AS word, known FROM trace JOIN heads USING (run, distance)),
+pieces AS (SELECT run, distance, word, sum(CASE WHEN known OR coalesce(prior, true) THEN 1 ELSE 0 END)
+    OVER (PARTITION BY run ORDER BY distance DESC) AS piece
+  FROM (SELECT *, lag(known) OVER (PARTITION BY run ORDER BY distance DESC) AS prior FROM steps)),
+joined AS (SELECT run, piece, string_agg(word, '' ORDER BY distance DESC) AS word FROM pieces GROUP BY ALL),
 cut AS (SELECT run, list(word ORDER BY piece) FILTER (length(word) >= {LEAST}) AS words FROM joined GROUP BY run),
 tokens AS (SELECT id, flatten(list(coalesce(words, []) ORDER BY place) FILTER (words IS NOT NULL)) AS tokens
   FROM asked LEFT JOIN spelt USING (id) LEFT JOIN cut USING (run) GROUP BY id)"""
@@ -89,7 +87,17 @@ def segment_unspaced(spark, sf_dir):
     return cut.select("chunk_id", F.col("dl").cast("long").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
 
 
-@query("search_segmented")
+@query("search_segmented", f"""WITH RECURSIVE {WORDS},
+asked AS (SELECT 't' || concat_ws(':', conv_id, turn) AS id, text FROM conversations
+  UNION ALL SELECT 'q' || item_id, text FROM benchmark), {PATHS},
+ct AS (SELECT id[2:] AS chunk_id, coalesce(tokens, []) AS tokens FROM tokens WHERE id[1] = 't'),
+{MODEL[MODEL.index("st AS"):]},
+terms AS (SELECT query_id, token, count(*) AS qtf FROM (
+  SELECT id[2:]::BIGINT AS query_id, unnest(tokens) AS token FROM tokens WHERE id[1] = 'q') GROUP BY ALL),
+scored AS (SELECT query_id, chunk_id, round(sum(qtf * (1 + ln(greatest(qtf, 1))) * {weight_sql()}), 6) AS score
+  FROM terms JOIN tf USING (token) JOIN voc USING (token), st GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank
+FROM scored QUALIFY rank <= {config.TOP_K}""")
 def search_segmented(spark, sf_dir):
     """The five best conversation turns per benchmark question, both without blanks."""
     tokenizer = segmentation.dictionary_tokenizer(dictionary(spark, sf_dir), LEAST)
