@@ -14,7 +14,7 @@ from .config import FullConfig, RecallConfig
 from .functions.embedding import embedder
 from .functions.models import chat_model
 from .functions.text import TOKENIZERS
-from .operators import compare, prepare, reports, scores
+from .operators import compare, prepare, reports, scores, segmentation
 from .plans import build, experiment, multi_query, registry
 from .plans.service import SearchService
 from .session import session
@@ -41,6 +41,8 @@ def _need_model():
 
 def _setup(spark: SparkSession, args) -> build.Build:
     tokenizer = TOKENIZERS[args.tokenizer]
+    if args.dictionary:
+        tokenizer = segmentation.dictionary_tokenizer(segmentation.fit(segmentation.read_dictionary(spark, args.dictionary)))
     embed = embedder("hashing", tokenizer=tokenizer) if args.embedding == "hashing" else embedder(args.embedding)
     return build.Build(IndexStore(spark, args.store), tokenizer, embed, _model())
 
@@ -169,6 +171,7 @@ def parser() -> argparse.ArgumentParser:
     common.add_argument("--store", default="index_store")
     common.add_argument("--datasets", default="datasets")
     common.add_argument("--tokenizer", default="cjk_bigram", choices=sorted(TOKENIZERS))
+    common.add_argument("--dictionary", help="cut text by this file of words and counts instead")
     common.add_argument("--embedding", default="hashing")
     common.add_argument("--section-mode", default="presplit", choices=["presplit", "raw"])
     commands = top.add_subparsers(dest="command", required=True)

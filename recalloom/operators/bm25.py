@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.text import Tokenizer, word_tokens
-from ..scale import frequent_keys_join, is_small, top_k
+from ..scale import frequent_keys_join, is_small, numbered, top_k
 
 
 def tokenise(chunks: DataFrame, text: str = "index_text", chunk_id: str = "chunk_id",
@@ -86,27 +86,10 @@ def _with_stats(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame
 def token_ids(vocab: DataFrame, prefix_chars: int = 3) -> DataFrame:
     """Number tokens from 0 by falling df, then token.
 
-    The order is built from three small steps instead of one global sort: tokens before
-    this df, tokens of the same df before this token's prefix, and the place among the
-    tokens sharing both. Distinct df values number at most the square root of twice the
-    postings, and the prefixes per df are few, so neither count table grows like the
-    vocabulary.
+    Tokens seen once are most of a vocabulary; ranges of (df, token) divide them like all others.
+    ``prefix_chars`` has no effect any more.
     """
-    v = vocab.withColumn("_prefix", F.substring("token", 1, prefix_chars))
-    counts = v.groupBy("df", "_prefix").agg(F.count(F.lit(1)).alias("_n"))
-    before_prefix = F.sum("_n").over(
-        Window.partitionBy("df").orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1))
-    before_df = F.sum("_n").over(
-        Window.orderBy(F.desc("df")).rowsBetween(Window.unboundedPreceding, -1))
-    by_df = counts.groupBy("df").agg(F.sum("_n").alias("_n")).select(
-        "df", F.coalesce(before_df, F.lit(0)).alias("_before_df"))
-    offsets = counts.select("df", "_prefix", F.coalesce(before_prefix, F.lit(0)).alias("_before")) \
-        .join(by_df, "df")
-    place = F.row_number().over(Window.partitionBy("df", "_prefix").orderBy("token"))
-    placed = v.withColumn("_place", place)
-    return placed.join(offsets, ["df", "_prefix"]).select(
-        *vocab.columns,
-        (F.col("_before_df") + F.col("_before") + F.col("_place") - 1).alias("token_id"))
+    return numbered(vocab, [F.desc("df"), F.asc("token")], "token_id")
 
 
 # A token is frequent from this share of all texts on. As a text holds a limited number of

@@ -93,3 +93,29 @@ def written(df: DataFrame, path: str, by: Sequence[str] = ()) -> DataFrame:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a step of a query below the shared checkpoint folder and go on from it."""
     return written(df, f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
+
+
+# Bits of monotonically_increasing_id below the number of the partition.
+_ROW_BITS = 33
+
+
+def numbered(df: DataFrame, order: Sequence[Column], name: str, start: int = 0) -> DataFrame:
+    """Number the rows from ``start`` on in ``order``, which should tell all rows apart.
+
+    Rows are dealt by ranges of the order, sorted inside each range and written with their place in it; a number is that
+    place plus the rows of the ranges before, of which there is one count per partition. No task sees more than its range.
+    Equal rows get different numbers in any order; an empty table stays empty; a former column ``name`` is replaced.
+    """
+    place = "_place"
+    while place in df.columns:
+        place += "_"
+    # The write fixes ranges and places: sampled ranges may differ from one run of a plan to the next.
+    ranged = df.drop(name).repartitionByRange(*order).sortWithinPartitions(*order)
+    kept = staged(ranged.withColumn(place, F.monotonically_increasing_id()), "numbered")
+    part = f"{place}_part"
+    keyed = kept.withColumn(part, F.shiftrightunsigned(place, _ROW_BITS))
+    before = F.sum("count").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = keyed.groupBy(part).count().select(part, F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.col(place) - F.shiftleft(F.col(part), _ROW_BITS)
+    return keyed.join(F.broadcast(offsets), part).select(
+        *[F.col(f"`{c}`") for c in kept.columns if c != place], (F.col("_before") + inside + start).alias(name))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..scale import numbered
 from . import xlsx
 
 # --- fixed values -----------------------------------------------------------
@@ -52,9 +53,12 @@ def read_test_set(spark: SparkSession, path: str, sheet: str | None = None) -> D
     rows = (spark.read.option("header", True).option("multiLine", True).csv(path)
             if path.endswith(".csv") else spark.read.parquet(path))
     if "_row" not in rows.columns:
-        # Test sets are written by hand; numbering their rows needs the one order of the file.
-        order = Window.orderBy(F.monotonically_increasing_id())
-        rows = rows.withColumn("_row", F.row_number().over(order) + 1)
+        # Files by name, their blocks by place, then rows as they stand in a block.
+        names = rows.columns
+        placed = rows.select("*", F.col("_metadata.file_path").alias("_order_path"), F.col("_metadata.file_block_start").alias("_order_block"),
+                             F.monotonically_increasing_id().alias("_order_line"))
+        order = [F.asc("_order_path"), F.asc("_order_block"), F.asc("_order_line")]
+        rows = numbered(placed, order, "_row", 2).select(*[F.col(f"`{c}`") for c in names], "_row")
     return shape_test_set(rows, "_row")
 
 

@@ -13,8 +13,8 @@ from recalloom.__main__ import main  # noqa: E402
 SMALL = "/root/testdata/sf0.001"
 # The rest runs through tools/check_queries.py, which needs minutes.
 QUICK = ["bm25_stats", "bm25_vocab", "chunk_char_window_overlap", "chunk_header_chain", "chunk_paragraph",
-         "clean_markup", "cost_report", "file_ref_match", "fuse_weighted", "json_salvage", "points_validate",
-         "recall_per_question", "score_compute", "search_dense_topk", "search_sparse_topk", "sections_headed"]
+         "clean_markup", "cost_report", "dictionary_words", "file_ref_match", "fuse_weighted", "json_salvage", "points_validate",
+         "recall_per_question", "score_compute", "search_dense_topk", "search_segmented", "search_sparse_topk", "sections_headed", "segment_unspaced"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")

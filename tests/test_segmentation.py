@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from recalloom.__main__ import main
 from recalloom.functions import segmentation as seg
 from recalloom.operators import bm25, segmentation
 
@@ -109,3 +110,13 @@ def test_dictionary_files_and_limits(spark, tmp_path, monkeypatch):
     with pytest.raises(ValueError):
         segmentation.fit(words)
     assert np.iinfo(np.int64).min == seg.ABSENT
+
+
+def test_command_line_takes_a_dictionary(spark, tmp_path, capsys):
+    (tmp_path / "words.txt").write_text("借阅 50\n期限 30\n有 9\n多长 8\n", encoding="utf-8")
+    where = ["--datasets", str(tmp_path / "d"), "--store", str(tmp_path / "s"), "--kb", "demo", "--dictionary", str(tmp_path / "words.txt")]
+    main(["demo", *where])
+    main(["build", "--pure", "--chunker", "fixed_1100", *where])
+    capsys.readouterr()
+    main(["search", "借阅期限有多长", "--retriever", "bm25", "--top-k", "2", *where])
+    assert "三十天" in capsys.readouterr().out
