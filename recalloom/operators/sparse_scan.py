@@ -1,7 +1,7 @@
 """Keyword scores of whole batches of chunks, of which every task keeps the best per question.
 
-Chunks come one to a row with their tokens. An Arrow task looks the tokens up among those of the questions, adds up
-the scores of a block of chunks as one table and keeps ``k`` chunks per index and question. No pair of chunk and question
+Chunks come one to a row with their tokens. An Arrow task looks the tokens up among those of the questions; with the
+statistics of those, another adds up the scores of a block of chunks as one table and keeps ``k`` chunks per index and question. No pair of chunk and question
 becomes a row, nothing is sorted or hashed by chunk, and what leaves a task does not grow with the chunks it saw.
 """
 
@@ -51,19 +51,40 @@ def asked_by(terms: pa.Table) -> Asked:
                  query[order].astype("int64"), qw[order])
 
 
-def _postings(asked: Asked, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _numbers(asked: Asked, lists: pa.Array) -> np.ndarray:
+    """The number of every listed token among the asked ones, -1 for others."""
+    return pc.fill_null(pc.index_in(lists.flatten(), value_set=asked.tokens), -1).to_numpy(zero_copy_only=False).astype("int64")
+
+
+def _rows(lists: pa.Array) -> np.ndarray:
+    return np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+
+
+def find(batches: Iterator[pa.RecordBatch], asked: Asked, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Replace the last column, ``tokens``, by ``dl, numbers, tf``: the length, and what of the asked tokens there is how often."""
+    n = max(len(asked.tokens), 1)
+    for batch in batches:
+        lists = batch.column(batch.num_columns - 1)
+        number = _numbers(asked, lists)
+        known = number >= 0
+        key, tf = np.unique(_rows(lists)[known] * n + number[known], return_counts=True)
+        row, token = np.divmod(key, n)
+        starts = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))]).astype("int32")
+        dl = pc.fill_null(pc.list_value_length(lists), 0)
+        found = [pa.ListArray.from_arrays(pa.array(starts), pa.array(v.astype("int32"))) for v in (token, tf)]
+        columns = [*batch.columns[:-1], dl, *found]
+        yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def _weights(asked: Asked, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, token number and weight of every asked token of the chunks, ordered by row."""
-    lists = batch.column(2)
-    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype("int64")
-    number = pc.fill_null(pc.index_in(lists.flatten(), value_set=asked.tokens), -1).to_numpy(zero_copy_only=False)
-    known = np.flatnonzero(number >= 0)
-    row, token = np.repeat(np.arange(len(lengths)), lengths)[known], number[known].astype("int64")
     if asked.idf is None:
-        return row, token, batch.column(3).flatten().to_numpy(zero_copy_only=False)[known]
-    key, tf = np.unique(row * max(len(asked.tokens), 1) + token, return_counts=True)
-    row, token = np.divmod(key, max(len(asked.tokens), 1))
+        number, known = (m := _numbers(asked, batch.column(2))), m >= 0
+        return _rows(batch.column(2))[known], number[known], batch.column(3).flatten().to_numpy(zero_copy_only=False)[known]
+    row, token = _rows(batch.column(3)), batch.column(3).flatten().to_numpy(zero_copy_only=False)
+    tf, dl = batch.column(4).flatten().to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)[row]
     group = batch.column(0).to_numpy(zero_copy_only=False)[row]
-    norm = (1.0 - asked.b) + asked.b * lengths[row] / np.maximum(asked.avgdl[group], 1.0)
+    norm = (1.0 - asked.b) + asked.b * dl / np.maximum(asked.avgdl[group], 1.0)
     return row, token, asked.idf[group, token] * tf / (tf + asked.k1 * norm)
 
 
@@ -126,12 +147,13 @@ def _add_scores(lists: _Lists, group: int, ids: pa.Array, row: np.ndarray, token
 
 
 def scan(batches: Iterator[pa.RecordBatch], asked: Asked, k: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """``group, query, chunk_id, score`` of the best chunks of one task; batches hold ``group, chunk_id, tokens`` and, without statistics, ``weights``."""
+    """``group, query, chunk_id, score`` of the best chunks of one task; batches hold ``group, chunk_id`` and
+    ``dl, numbers, tf`` as :func:`find` gives them or, without statistics, ``tokens, weights``."""
     lists = _Lists(asked, k, schema.field("chunk_id").type)
     for batch in batches:
         if not batch.num_rows or not asked.n_queries:
             continue
-        row, token, weight = _postings(asked, batch)
+        row, token, weight = _weights(asked, batch)
         group = batch.column(0).to_numpy(zero_copy_only=False)
         for g in np.unique(group):
             rows = np.flatnonzero(group == g)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import BROADCAST_MAX_ROWS
 from ..functions.text import keep_charset
 from ..operators import bm25, chunkers, compare, enrich, recall, reports, scores, search, sections
-from ..scale import broadcast_if_small
+from ..scale import broadcast_if_small, is_small, staged
 from .catalog import once, query, table
 from .retrieval_queries import (MODEL, MQ_ROUTES, corpus, fused_sql_ranked, half_rewrites, questions,
                                 sparse_hits, sparse_sql, tokens_sql)
@@ -249,17 +250,21 @@ def multi_query_vs_direct(spark, sf_dir):
 ARM_CHARS = 600
 
 
-def study_arms(spark, sf_dir) -> DataFrame:
-    """Chunks of the four arms: split by section or not, with metadata or not."""
+def study_arms(spark, sf_dir, of: DataFrame | None = None) -> DataFrame:
+    """Chunks of the four arms: split by section or not, with metadata or not. ``of`` (``doc_id``) names the only documents wanted."""
     docs = documents_with_headings(spark, sf_dir)
+    if of is not None:
+        docs = docs.join(of, "doc_id", "left_semi")
     split = sections.detect_sections(docs).withColumn("section_mode", F.lit("presplit"))
     raw = sections.whole_document(docs).withColumn("section_mode", F.lit("raw"))
     chunks = chunkers.char_windows(split.unionByName(raw), ARM_CHARS)
     chunks = chunks.withColumns({
         "file_type": F.col("lang"), "section_summary": F.lit(""), "file_summary": F.col("source")})
-    pure = chunks.withColumn("with_meta", F.lit(False))
-    meta = enrich.inject_metadata(chunks).withColumn("with_meta", F.lit(True))
-    return pure.unionByName(meta).withColumn("chunk_id", F.concat_ws(
+    # Both texts of a chunk come from one row, so that sections are detected once.
+    meta = enrich.inject_metadata(chunks.withColumn("_pure", F.col("index_text")))
+    both = F.array(*[F.struct(F.lit(m).alias("with_meta"), F.col(c).alias("index_text")) for m, c in ((False, "_pure"), (True, "index_text"))])
+    arms = meta.withColumn("_arm", F.explode(both)).drop("index_text", "_pure").select("*", "_arm.*").drop("_arm")
+    return arms.withColumn("chunk_id", F.concat_ws(
         "#", "section_mode", F.col("with_meta").cast("string"), "doc_id", "section_idx", "ord"))
 
 
@@ -304,8 +309,12 @@ def effect_decomposition(spark, sf_dir):
     """The 2x2 study in one plan: four indexes are fitted and searched side by side."""
     arm = ["section_mode", "with_meta"]
     chunks = study_arms(spark, sf_dir)
-    hits = bm25.sparse_topk(bm25.fit(chunks, by=arm), questions(spark, sf_dir), 5)
-    full = search.with_payload(hits.drop(*arm), chunks, questions(spark, sf_dir), 4 * 5)
+    asked = questions(spark, sf_dir)
+    hits = staged(bm25.sparse_topk(bm25.fit(chunks, by=arm), asked, 5), "study-hits").drop(*arm)
+    # Only documents with a hit are cut again; there are at most as many as hits.
+    cut = hits.select(F.split("chunk_id", "#")[2].cast(chunks.schema["doc_id"].dataType).alias("doc_id")).distinct()
+    cut = F.broadcast(cut) if is_small(asked, BROADCAST_MAX_ROWS // (4 * 5)) else cut
+    full = search.with_payload(hits, study_arms(spark, sf_dir, cut), asked, 4 * 5)
     flags = recall.question_recall(full, test_set(spark, sf_dir), arm, measure="verbatim", concat=False)
     return recall.effects(flags)
 

@@ -4,6 +4,7 @@ import pyarrow as pa
 import pytest
 
 from recalloom.operators import bm25, sparse_scan
+from recalloom.plans import evaluation_queries
 from test_retrieval import brute_bm25, ranked
 
 
@@ -51,3 +52,28 @@ def test_blocks_and_batches_do_not_change_the_lists(monkeypatch, cells):
                     scores[d] = round(sum(held), 6)
             want = sorted(scores.items(), key=lambda s: (-s[1], s[0]))[:3]
             assert sorted(got.get((g, number), []), key=lambda s: (-s[1], s[0])) == want
+
+
+def test_texts_are_tokenised_once(spark):
+    chunks = spark.createDataFrame([("a", "one two"), ("b", "two")], "chunk_id string, index_text string")
+    queries = spark.createDataFrame([(1, "two")], "query_id int, question string")
+    found = bm25.sparse_topk(bm25.fit(chunks), queries, 2)
+    # Scores and statistics come from what was written of the tokens.
+    assert "split(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.chunk_id for r in found.orderBy("rank").collect()] == ["b", "a"]
+
+
+def test_study_detects_sections_once(spark, tmp_path):
+    text = "Head\n" + "some longer words about nothing at all, " * 20
+    spark.createDataFrame([(1, text, "en", "web"), (2, text, "de", "book")], "doc_id long, text string, lang string, source string").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    arms = evaluation_queries.study_arms(spark, str(tmp_path))
+    assert arms._jdf.queryExecution().optimizedPlan().toString().count("Union") == 1
+    rows = arms.select("with_meta", "section_mode", "doc_id", "ord", "content_text", "index_text").collect()
+    pure = {r[1:4]: r for r in rows if not r.with_meta}
+    meta = {r[1:4]: r for r in rows if r.with_meta}
+    assert pure.keys() == meta.keys() and len(rows) == 2 * len(pure) > 4
+    assert all(r.index_text == r.content_text and meta[key].index_text.endswith("\n" + r.content_text)
+               and "文件摘要：" in meta[key].index_text and meta[key].content_text == r.content_text for key, r in pure.items())
+    some = evaluation_queries.study_arms(spark, str(tmp_path), spark.createDataFrame([(2,)], "doc_id long"))
+    assert {r.doc_id for r in some.collect()} == {2} and some.count() == len(rows) // 2
