@@ -12,6 +12,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,23 +24,33 @@ from .text import Tokenizer, word_tokens
 Embedder = Callable[[Column], Column]
 
 
-@lru_cache(maxsize=1 << 20)
+# Slots remembered by a worker; a batch looks up each of its different tokens once.
+_KEPT_SLOTS = 1 << 16
+
+
+@lru_cache(maxsize=_KEPT_SLOTS)
 def _slot(token: str, dim: int) -> int:
     return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dim
 
 
+def _hashed_counts(token_lists: pa.Array, dim: int) -> np.ndarray:
+    """Unit vectors (rows x ``dim``) of listed tokens; tokens stay in Arrow, only different ones become strings."""
+    tokens = token_lists.flatten().dictionary_encode()
+    slots = np.array([_slot(t, dim) for t in tokens.dictionary.to_pylist()], dtype="int64")
+    lengths = pc.fill_null(pc.list_value_length(token_lists), 0).to_numpy(zero_copy_only=False)
+    cell = np.repeat(np.arange(len(token_lists)) * dim, lengths) + slots[tokens.indices.to_numpy(zero_copy_only=False)]
+    counts = np.bincount(cell, minlength=len(token_lists) * dim).astype("float64").reshape(-1, dim)
+    norm = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+    return counts / np.where(norm == 0, 1.0, norm)
+
+
 def hashing_embedder(dim: int = 64, tokenizer: Tokenizer = word_tokens) -> Embedder:
     """Unit vectors of token counts hashed into ``dim`` slots."""
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def hashed(token_lists: pd.Series) -> pd.Series:
-        def one(tokens):
-            slots = [_slot(t, dim) for t in tokens] if tokens is not None else []
-            counts = np.bincount(np.array(slots, dtype="int64"), minlength=dim).astype("float64")
-            norm = np.sqrt((counts * counts).sum())
-            return counts / norm if norm else counts
-
-        return token_lists.map(one)
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def hashed(token_lists: pa.Array) -> pa.Array:
+        vectors = _hashed_counts(token_lists, dim)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(vectors) + 1) * dim, pa.int32()), pa.array(vectors.ravel()))
 
     return lambda text: hashed(tokenizer(F.coalesce(text, F.lit(""))))
 

@@ -1,8 +1,11 @@
+import hashlib
 import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from recalloom.functions import embedding
 from recalloom.operators import bm25, sparse_scan
 from recalloom.plans import evaluation_queries
 from test_retrieval import brute_bm25, ranked
@@ -77,3 +80,17 @@ def test_study_detects_sections_once(spark, tmp_path):
                and "文件摘要：" in meta[key].index_text and meta[key].content_text == r.content_text for key, r in pure.items())
     some = evaluation_queries.study_arms(spark, str(tmp_path), spark.createDataFrame([(2,)], "doc_id long"))
     assert {r.doc_id for r in some.collect()} == {2} and some.count() == len(rows) // 2
+
+
+def test_hashing_embedder_keeps_few_tokens_and_the_same_vectors(spark):
+    texts = ["apple banana apple", "", None, "x y", " ".join(f"word{i}" for i in range(300)), "banana"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(2)
+    got = {r.i: r.v for r in df.select("i", embedding.hashing_embedder(16)(F.col("t")).alias("v")).collect()}
+    for i, text in enumerate(texts):
+        want = [0.0] * 16
+        for token in [w for w in (text or "").split() if len(w) > 1]:
+            want[int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % 16] += 1
+        norm = sum(x * x for x in want) ** 0.5 or 1.0
+        assert got[i] == pytest.approx([x / norm for x in want])
+    # A worker remembers a bounded part of the vocabulary: a million strings before.
+    assert embedding._slot.cache_info().maxsize <= 1 << 16
