@@ -53,8 +53,10 @@ STAR, LEAF, PIVOTS, ROUNDS = 64, 4096, 16, 2
 # Members of a region that meet as many others in one task.
 BLOCK = 256
 
-# Bits of the mark of a set: each shingle sets one. Marks that differ in many bits come from sets that differ.
+# Bits of the mark of a set: each shingle turns one over. Marks that differ in many bits come from sets that differ.
+# Larger sets have a second mark of as many bits as shingles at least, which comes after the first.
 MARK_BITS = 1024
+_MARK_WORDS = MARK_BITS // 64
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
@@ -105,9 +107,9 @@ def _node(shingles: np.ndarray) -> int | None:
 
 
 def _mark(shingles: np.ndarray) -> np.ndarray:
-    bits = np.zeros(MARK_BITS, bool)
-    bits[(shingles & np.uint64(MARK_BITS - 1)).astype(np.int64)] = True
-    return np.packbits(bits).view(np.int64)
+    widths = [MARK_BITS] if len(shingles) <= MARK_BITS else [MARK_BITS, 1 << (len(shingles) - 1).bit_length()]
+    odd = [np.bincount((shingles & np.uint64(w - 1)).astype(np.int64), minlength=w) & 1 for w in widths]
+    return np.packbits(np.concatenate(odd).astype(bool)).view(np.int64)
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -227,11 +229,11 @@ class _Space:
         self.sets: DataFrame | None = None
         self.roots: DataFrame | None = None
 
-    def measure(self, pairs: DataFrame, all_distances: bool = False, screened: bool = False) -> None:
+    def measure(self, pairs: DataFrame, all_distances: bool = False) -> None:
         """Links and distances of the pairs (a < b) that have none yet.
 
-        Where the marks rule a link out (``_marks_allow``) the pair is not linked and its distance
-        stays null, unless ``all_distances`` are asked for; ``screened`` pairs have passed that.
+        Where the marks rule a link out (``_marks_allow``, ``_second_marks_allow``) the pair is not
+        linked and its distance stays null, unless ``all_distances`` are asked for.
         """
         pairs = pairs.select("a", "b").distinct()
         if self.measured is not None:
@@ -239,18 +241,20 @@ class _Space:
             pairs = pairs.join(known, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         far = None
-        if not all_distances and not screened:
+        if not all_distances:
             ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+            ends = broadcast_if_bounded(stored(ends, "ends"))
             marks = stored(self.names.join(ends, "node", "left_semi").groupBy("node").agg(F.first("mark").alias("mark"), F.first("n").alias("n")), "marks")
             seen = (pairs.join(marks.select(F.col("node").alias("a"), F.col("mark").alias("mark_a"), F.col("n").alias("n_a")), "a")
                     .join(marks.select(F.col("node").alias("b"), F.col("mark").alias("mark_b"), F.col("n").alias("n_b")), "b")
-                    .select("a", "b", _marks_allow("mark_a", "mark_b", "n_a", "n_b").alias("close")))
+                    .select("a", "b", (_marks_allow("mark_a", "mark_b", "n_a", "n_b") & _second_marks_allow("mark_a", "mark_b", "n_a", "n_b")).alias("close")))
             seen = stored(seen, "seen")
             far = seen.where("not close").select("a", "b", F.lit(False).alias("linked"), F.lit(None).cast("double").alias("distance"))
             pairs = seen.where("close").select("a", "b")
-        asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        ends = stored(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "ends")
+        asked = ends
         if self.sets is not None:
-            asked = asked.join(self.sets, "node", "left_anti")
+            asked = asked.join(self.sets.select("node"), "node", "left_anti")
         # One text of each node is read again; nothing of the others has been kept.
         one = stored(self.names.join(asked, "node", "left_semi").groupBy("node").agg(F.min("text_hash").alias("text_hash")).select("text_hash").distinct(), "asked")
         if one.limit(1).count():
@@ -261,7 +265,8 @@ class _Space:
             if far is not None:
                 self.measured = far if self.measured is None else self.measured.unionByName(far)
             return
-        sets = self.sets
+        # Sets are by far the widest rows; only those of this round's pairs are dealt out.
+        sets = self.sets.join(broadcast_if_bounded(ends), "node", "left_semi")
         b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
         a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
         common = F.size(F.array_intersect("of_a", "of_b"))
@@ -276,7 +281,8 @@ class _Space:
             self.roots = components(stored(self.measured.where("linked"), "links"))
 
     def with_marks(self, nodes: DataFrame) -> DataFrame:
-        return nodes.join(self.names.groupBy("node").agg(F.first("mark").alias("mark")), "node")
+        first = F.slice("mark", 1, _MARK_WORDS).alias("mark")
+        return nodes.join(self.names.select("node", first).groupBy("node").agg(F.first("mark").alias("mark")), "node")
 
     def with_roots(self, nodes: DataFrame) -> DataFrame:
         if self.roots is None:
@@ -303,11 +309,28 @@ def _may_link(n: str, m: str, rest: str, other: str):
 
 def _marks_allow(x: str, y: str, n: str, m: str):
     """By marks: each bit in which two differ stands for a shingle that one set has alone."""
-    differ = sum(F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(MARK_BITS // 64))
+    return _few(sum(F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(_MARK_WORDS)), n, m)
+
+
+def _few(differ, n: str, m: str):
     # s (n + m + d) <= n + m - d for d shingles in one set only and similarity s.
     return differ * (100 + SIMILAR) <= (100 - SIMILAR) * (F.col(n) + F.col(m))
 
 
+def _second_marks_allow(x: str, y: str, n: str, m: str):
+    """The same by second marks, where both sets have one. Of two widths the larger is folded: what its halves share cancels out."""
+    words = F.least(F.size(x), F.size(y)) - _MARK_WORDS
+
+    def folded(mark):
+        low, high = F.slice(mark, _MARK_WORDS + 1, words), F.slice(mark, words + _MARK_WORDS + 1, words)
+        return F.when(F.size(mark) - _MARK_WORDS > words, F.zip_with(low, high, lambda p, q: p.bitwiseXOR(q))).otherwise(low)
+
+    differ = F.aggregate(F.zip_with(folded(x), folded(y), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, d: s + d)
+    # Sets whose widths are further apart than one step are not asked: their sizes rule them out elsewhere.
+    usable = (words > 0) & (F.greatest(F.size(x), F.size(y)) - _MARK_WORDS <= 2 * words)
+    return F.when(usable, _few(differ, n, m)).otherwise(F.lit(True))
+
+
 def resolve(space: _Space, regions: DataFrame) -> None:
     """Compare the members (region, node, n, rest, distance) of stored regions until each is one
     component or has no pair left. ``distance`` is that to a former pivot, if it was measured."""
@@ -343,12 +366,12 @@ def resolve(space: _Space, regions: DataFrame) -> None:
         to_pivot = large.join(broadcast_if_bounded(pivots), "region").where("node <> pivot")
         if level < ROUNDS:
             possible = (F.col("root") != F.col("pivot_root")) & _may_link("n", "m", "rest", "pivot_rest") & _marks_allow("mark", "pivot_mark", "n", "m")
-            space.measure(pairs.unionByName(to_pivot.where(possible).select(*_pair("node", "pivot"))), screened=True)
+            space.measure(pairs.unionByName(to_pivot.where(possible).select(*_pair("node", "pivot"))))
             regions = stored(large.select("region", "node", "n", "rest", "distance")
                              .join(pivots.select("region", F.col("pivot").alias("node")), ["region", "node"], "left_anti"), "regions")
             level += 1
             continue
-        space.measure(pairs, screened=True)
+        space.measure(pairs)
         if pivots.limit(1).count():
             space.measure(to_pivot.select(*_pair("node", "pivot")), all_distances=True)
         if not pivots.limit(1).count():

@@ -88,6 +88,32 @@ def test_regions_go_on_through_cells(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def long_texts():
+    """Long texts that share a passage, and near copies of one of them, with second marks of two widths."""
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(9)]
+    texts = [passage + [f"w{rng.randrange(10**6)}" for _ in range(n)] for n in (1990, 2000, 2010, 2030, 2090)]
+    near = [texts[2][:-k] + [f"n{k}"] * 2 for k in (3, 40)] + [texts[2] + [f"x{i}" for i in range(90)], texts[2] + [f"y{i}" for i in range(900)]]
+    return [(i, " ".join(w)) for i, w in enumerate(texts + near)]
+
+
+def test_sets_of_long_unrelated_texts_are_not_read(spark):
+    docs = table(spark, [r for r in long_texts() if r[0] < 5])
+    found = stored(jaccard_join.nodes_and_counts(jaccard_join._texts(docs, "doc_id", "text")), "nodes")
+    named = found.where("slice is null").select("id", "text_hash", "n", "node", "mark")
+    space = jaccard_join._Space(docs, "doc_id", "text", named)
+    space.measure(named.select(F.col("node").alias("a")).crossJoin(named.select(F.col("node").alias("b"))).where("a < b"))
+    assert space.measured.count() == 10 and space.measured.where("linked or distance is not null").count() == 0
+    assert space.sets is None
+
+
+def test_links_of_long_texts(spark):
+    rows = long_texts()
+    got = jaccard_join.join(table(spark, rows))
+    assert sorted(map(tuple, got.collect()), key=repr) == brute(rows)
+    assert [c for _, _, c in brute(rows)] == [0, 1, 2, 3, 4, 2, 2, 2, 8]
+
+
 def test_stars_reach_the_smallest_node(spark):
     chain = [(i, i + 1) for i in range(30)] + [(100, 101), (102, 100), (5, 5)]
     random.Random(1).shuffle(chain)
