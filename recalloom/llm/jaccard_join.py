@@ -47,6 +47,7 @@ WORDS, SIMILAR = 5, 80
 # Counters of the sketch, as a power of two: one megabyte from each task.
 SKETCH_BITS = 18
 _SLICE = 1 << 12
+CACHED_WORDS = 1 << 16
 # Regions beyond STAR members are first measured against PIVOTS pivots and, in ROUNDS rounds, each
 # time twice as many. Up to LEAF members they are then compared pair by pair; larger ones are divided.
 STAR, LEAF, PIVOTS, ROUNDS = 64, 4096, 16, 2
@@ -66,7 +67,8 @@ class Shingler:
 
     def __init__(self) -> None:
         self.hashes = np.zeros(1 << 12, np.uint64)
-        self.words = Words(self._new, lambda: None)
+        # A hash is cheap to work out again, so few words are held.
+        self.words = Words(self._new, lambda: None, CACHED_WORDS)
 
     def _new(self, words: list[bytes], first: int) -> None:
         while first + len(words) > len(self.hashes):
