@@ -107,6 +107,14 @@ def test_sets_of_long_unrelated_texts_are_not_read(spark):
     assert space.sets is None
 
 
+def test_a_full_word_cache_changes_no_set(monkeypatch):
+    texts = [t.encode() for _, t in families(6, 6) if t]
+    want = [s.tolist() for s in jaccard_join.Shingler().sets(texts)]
+    monkeypatch.setattr(jaccard_join, "CACHED_WORDS", 3)
+    small = jaccard_join.Shingler()
+    assert [s.tolist() for s in small.sets(texts)] == want and len(small.words) < 200
+
+
 def test_links_of_long_texts(spark):
     rows = long_texts()
     got = jaccard_join.join(table(spark, rows))
