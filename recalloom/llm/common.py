@@ -14,7 +14,7 @@ from ..session import checkpoint_dir, ship
 BROADCAST_BYTES = 16 << 20
 
 # Whole texts go to Python tasks in Arrow batches of about this size, held twice by the JVM and by Python.
-ARROW_BYTES = 4 << 20
+ARROW_BYTES = 1 << 20
 
 # The white space of the contracts: blank and the controls 9 to 13.
 SPACE = r"[\x20\x09-\x0D]+"

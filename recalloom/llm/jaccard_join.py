@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_bounded, fresh_name, stored
-from .ragged import Words, packs, resident, windows
+from .ragged import Words, giving_back, packs, resident, windows
 
 WORDS, SIMILAR = 5, 80
 # Counters of the sketch, as a power of two: one megabyte from each task.
@@ -140,7 +140,7 @@ def nodes_and_counts(texts: DataFrame) -> DataFrame:
             *[pa.nulls(m, pa.int64())] * 4, pa.nulls(m, pa.list_(pa.int64())),
             pa.array(slices, pa.int32()), pa.array(list(counts.reshape(-1, _SLICE)[slices]), pa.list_(pa.int64()))], names=names)
 
-    return texts.mapInArrow(run, "id bigint, text_hash bigint, n bigint, node bigint, mark array<bigint>, slice int, counts array<bigint>")
+    return texts.mapInArrow(giving_back(run), "id bigint, text_hash bigint, n bigint, node bigint, mark array<bigint>, slice int, counts array<bigint>")
 
 
 def sketch(found: DataFrame) -> np.ndarray:
@@ -187,7 +187,7 @@ def prefixes(texts: DataFrame, order: np.ndarray) -> DataFrame:
                         pa.array(np.concatenate(regions).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), each)),
                         pa.array(np.repeat(np.array(sizes, np.int64), each)), pa.array(np.concatenate(rests))], names=["region", "node", "n", "rest"])
 
-    return texts.mapInArrow(run, "region bigint, node bigint, n bigint, rest bigint")
+    return texts.mapInArrow(giving_back(run), "region bigint, node bigint, n bigint, rest bigint")
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -198,7 +198,7 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
                 sets = [s for s in _shingler().sets(some) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    return texts.mapInArrow(run, "node bigint, shingles array<bigint>")
+    return texts.mapInArrow(giving_back(run), "node bigint, shingles array<bigint>")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh_name
-from .ragged import Rows, Words, packs, resident, windows
+from .ragged import Rows, Words, giving_back, packs, resident, windows
 
 # Labelled rows that the model learns from, about, and words of all of them together.
 SAMPLE_ROWS = 3000
@@ -299,8 +299,8 @@ def train(labelled: DataFrame) -> bytes:
             texts.append((lang, [w for at in range(0, len(words), half * skip) for w in words[at:at + half]]))
         yield pa.RecordBatch.from_arrays([pa.array([fit(texts).pack()], pa.binary())], names=["model"])
 
-    rows = labelled.mapInArrow(cores, "_key string, words array<string>, lang string")
-    return rows.repartition(1).mapInArrow(learn, "model binary").first()[0]
+    rows = labelled.mapInArrow(giving_back(cores), "_key string, words array<string>, lang string")
+    return rows.repartition(1).mapInArrow(giving_back(learn), "model binary").first()[0]
 
 
 def identify(docs: DataFrame, model: bytes, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
@@ -318,4 +318,4 @@ def identify(docs: DataFrame, model: bytes, text_col: str = "text", lang_col: st
     lang_col = fresh_name(others, lang_col)
     score_col = fresh_name([*others, lang_col], score_col)
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others), f"`{lang_col}` string", f"`{score_col}` double"])
-    return docs.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text_col}`")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text_col}`")).mapInArrow(giving_back(run), schema)

@@ -25,7 +25,7 @@ from tokenizers import Tokenizer
 
 from .bpe import byte_letters
 from .common import stored
-from .ragged import WINDOW_CHARS, Rows, Words, packs, resident, windows
+from .ragged import WINDOW_CHARS, Rows, Words, giving_back, packs, resident, windows
 
 # Pieces of a group: what one task packs, the same at every size of the table.
 GROUP_PIECES = 40_000
@@ -33,6 +33,11 @@ GROUP_PIECES = 40_000
 MAX_ROUNDS = 3
 
 
+def steps_of(source: str) -> dict:
+    """A tokenizers file without its vocabulary, which is by far most of it."""
+    return {k: v for k, v in json.loads(source).items() if k != "model"}
+
+
 class FastTokenizer:
     """Ids of a tokenizers file; where words stand for themselves, each distinct one is encoded once.
 
@@ -45,11 +50,12 @@ class FastTokenizer:
 
     _PYTHON_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
-    def __init__(self, source: str) -> None:
+    def __init__(self, source: str, spec: dict | None = None) -> None:
+        """``spec``: what ``steps_of`` gives for ``source``, where it is known already."""
         self.tokenizer = Tokenizer.from_str(source)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        spec = json.loads(source)
+        spec = spec or steps_of(source)
         self.marks = (*self._PYTHON_SPACE, *(t["content"] for t in spec["added_tokens"]))
         normal = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
         cuts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
@@ -68,13 +74,14 @@ class FastTokenizer:
     def _new_parts(self, parts: list[str], first: int) -> None:
         """Ids of lower-case parts of Latin letters by the model alone, of other words by all steps."""
         tokenize, letters = self.model.tokenize, self.letters
-        ids = [[t.id for t in tokenize(p.encode().decode("latin-1").translate(letters))] if max(p) < "\u0100" else self.whole(p)
-               for p in parts]
+        # Printable ASCII stands for itself.
+        ids = [[t.id for t in tokenize(p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(letters))]
+               if p.isascii() or max(p) < "\u0100" else self.whole(p) for p in parts]
         self.part_ids.extend(np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64))
 
     def _new_words(self, words: list[str], first: int) -> None:
         cut = self.pattern.findall
-        parts = [cut(w.lower()) if max(w) < "\u0100" else [w] for w in words]
+        parts = [cut(w.lower()) if w.isascii() or max(w) < "\u0100" else [w] for w in words]
         ids, ends = self.part_ids.gather(self.parts.numbers([p for x in parts for p in x]))
         ends = np.concatenate([[0], ends])[np.cumsum([0, *map(len, parts)])]
         self.ids.extend(ids, np.diff(ends))
@@ -103,10 +110,11 @@ class FastTokenizer:
 def tokenise(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
     """``doc_id, ids``: little-endian unsigned 32-bit ids in one binary, the end id last."""
     with open(tokenizer_path, encoding="utf-8") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())
+        source = f.read()
+    shared = docs.sparkSession.sparkContext.broadcast((source, steps_of(source)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = resident(("tokenizer", hash(shared.value)), lambda: FastTokenizer(shared.value))
+        tokenizer = resident(("tokenizer", hash(shared.value[0])), lambda: FastTokenizer(*shared.value))
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             at = 0
@@ -116,7 +124,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
                 at += len(texts)
 
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint"), F.col(f"`{text_col}`"))
-    return rows.mapInArrow(run, "doc_id bigint, ids binary")
+    return rows.mapInArrow(giving_back(run), "doc_id bigint, ids binary")
 
 
 def cut(tokens: DataFrame, capacity: int) -> DataFrame:

@@ -10,9 +10,9 @@ import numpy as np
 import pyarrow as pa
 
 # Text handled at once; bounds what a task holds beside its Arrow batch.
-WINDOW_CHARS = 2 << 20
-# Characters of the words a cache holds.
-CACHED_CHARS = 16 << 20
+WINDOW_CHARS = 1 << 20
+# Words a cache holds, and their characters. More cost a worker memory and hardly save time: most words that are new are rare.
+CACHED_WORDS, CACHED_CHARS = 1 << 17, 16 << 20
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,6 +59,17 @@ def give_back() -> None:
         trim(0)
 
 
+def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` as an Arrow task that gives back its memory when it ends: idle workers stay beside the JVM, which goes on."""
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 _resident: dict[Hashable, object] = {}
 
 
@@ -71,6 +82,7 @@ def resident(key: Hashable, make: Callable[[], object]):
         _resident.clear()
         give_back()
         _resident[key] = make()
+        give_back()
     return _resident[key]
 
 
@@ -81,7 +93,7 @@ class Words(dict):
     never changes a result.
     """
 
-    def __init__(self, fill: Callable[[list[str], int], None], reset: Callable[[], None], limit: int = 500_000) -> None:
+    def __init__(self, fill: Callable[[list[str], int], None], reset: Callable[[], None], limit: int = CACHED_WORDS) -> None:
         super().__init__()
         self.fill, self.reset, self.limit, self.new, self.chars = fill, reset, limit, [], 0
 

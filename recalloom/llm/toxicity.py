@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh_name, stored
-from .ragged import Rows, Words, packs, resident, windows
+from .ragged import Rows, Words, giving_back, packs, resident, windows
 
 # Labelled rows that the machine learns from, about: what the training task holds.
 SAMPLE_ROWS = 12_000
@@ -182,8 +182,8 @@ def train(labelled: DataFrame) -> bytes:
         machine = fit([np.frombuffer(t, np.uint32) for _, _, t in rows], np.array([lab for _, lab, _ in rows], float))
         yield pa.RecordBatch.from_arrays([pa.array([machine.pack()], pa.binary())], names=["machine"])
 
-    rows = labelled.select(F.col("_key").cast("string"), "text", F.col("label").cast("int")).mapInArrow(terms, "_key string, terms binary, label int")
-    return rows.repartition(1).mapInArrow(learn, "machine binary").first()[0]
+    rows = labelled.select(F.col("_key").cast("string"), "text", F.col("label").cast("int")).mapInArrow(giving_back(terms), "_key string, terms binary, label int")
+    return rows.repartition(1).mapInArrow(giving_back(learn), "machine binary").first()[0]
 
 
 def score(docs: DataFrame, machine: bytes, text_col: str = "text", score_col: str = "score") -> DataFrame:
@@ -205,4 +205,4 @@ def score(docs: DataFrame, machine: bytes, text_col: str = "text", score_col: st
     others = [c for c in docs.columns if c != text_col]
     score_col = fresh_name(others, score_col)
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others), f"`{score_col}` double"])
-    return docs.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text_col}`")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text_col}`")).mapInArrow(giving_back(run), schema)

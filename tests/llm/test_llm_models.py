@@ -244,3 +244,23 @@ def test_ragged_rows():
     assert flat.tolist() == [2, 3, 4, 0, 1, 2, 3, 4] and ends.tolist() == [3, 3, 5, 8]
     assert "".join(ragged.windows("ab cd ef gh", 3)) == "ab cd ef gh" and len(list(ragged.windows("x" * 99, 3))) == 1
     assert list(ragged.packs(["aa", None, "bbb"], 2)) == [["aa"], ["", "bbb"]]
+
+
+def test_idle_workers_hold_little(monkeypatch):
+    """Beside a JVM at its full size: caches are bounded, tasks give back what they held, and no vocabulary is parsed twice."""
+    terms = toxicity.Terms()
+    for at in range(0, 300_000, 50_000):
+        terms.of(" ".join(f"w{i}" for i in range(at, at + 50_000)))
+        assert len(terms.words) <= ragged.CACHED_WORDS + 50_000
+    given = []
+    monkeypatch.setattr(ragged, "give_back", lambda: given.append(1))
+    assert list(ragged.giving_back(iter)([1, 2])) == [1, 2] and len(given) == 1
+    cut_short = ragged.giving_back(iter)([1, 2])
+    next(cut_short)
+    cut_short.close()
+    assert len(given) == 2
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        source = f.read()
+    assert len(repr(packing.steps_of(source))) < len(source) // 100
+    known, text = packing.FastTokenizer(source, packing.steps_of(source)), "Çà et là, 3 mots\x01 d'AVANT don't ~x"
+    assert known.encode([text])[0].tolist() == known.whole(text)
