@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from recalloom.llm import exact_dedup, jaccard_join, langid, toxicity
 from recalloom.llm.common import fresh_name, ready, stored
 from recalloom.llm.queries import language_model, packed_documents, toxicity_machine
+from recalloom.llm.ragged import CACHED_WORDS
 
 ORACLE_SQL = None
 
@@ -52,7 +53,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents left, packed into sequences of at most 2048 tokens; one row per piece."""
-    return packed_documents(docs)
+    # After the join the executors' JVMs are at their full size, so workers hold fewer words; that costs time alone.
+    return packed_documents(docs, CACHED_WORDS)
 
 
 STAGES = [

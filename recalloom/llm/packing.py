@@ -29,6 +29,8 @@ from .ragged import WINDOW_CHARS, Rows, Words, giving_back, packs, resident, win
 
 # Pieces of a group: what one task packs, the same at every size of the table.
 GROUP_PIECES = 40_000
+# Words, and parts of words, whose ids a worker holds where nothing else asks for its memory.
+CACHED_WORDS = 500_000
 # Exchanges at most; each needs fewer pieces than the one before.
 MAX_ROUNDS = 3
 
@@ -50,7 +52,7 @@ class FastTokenizer:
 
     _PYTHON_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
-    def __init__(self, source: str, spec: dict | None = None) -> None:
+    def __init__(self, source: str, spec: dict | None = None, cached_words: int = CACHED_WORDS) -> None:
         """``spec``: what ``steps_of`` gives for ``source``, where it is known already."""
         self.tokenizer = Tokenizer.from_str(source)
         self.tokenizer.no_truncation()
@@ -65,8 +67,8 @@ class FastTokenizer:
         self.letters = {b: letter for b, letter in enumerate(byte_letters())}
         self.model = self.tokenizer.model
         self.ids, self.part_ids = Rows(np.uint32), Rows(np.uint32)
-        self.words = Words(self._new_words, self.ids.clear)
-        self.parts = Words(self._new_parts, self.part_ids.clear)
+        self.words = Words(self._new_words, self.ids.clear, cached_words)
+        self.parts = Words(self._new_parts, self.part_ids.clear, cached_words)
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -107,14 +109,15 @@ class FastTokenizer:
         return out
 
 
-def tokenise(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
+def tokenise(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0,
+             cached_words: int = CACHED_WORDS) -> DataFrame:
     """``doc_id, ids``: little-endian unsigned 32-bit ids in one binary, the end id last."""
     with open(tokenizer_path, encoding="utf-8") as f:
         source = f.read()
     shared = docs.sparkSession.sparkContext.broadcast((source, steps_of(source)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = resident(("tokenizer", hash(shared.value[0])), lambda: FastTokenizer(*shared.value))
+        tokenizer = resident(("tokenizer", hash(shared.value[0]), cached_words), lambda: FastTokenizer(*shared.value, cached_words))
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             at = 0

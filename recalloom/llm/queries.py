@@ -144,8 +144,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents"))
 
 
-def packed_documents(docs: DataFrame) -> DataFrame:
-    tokens = packing.tokenise(docs, public_tokenizers.path("word_bpe_49k.json"))
+def packed_documents(docs: DataFrame, cached_words: int = packing.CACHED_WORDS) -> DataFrame:
+    tokens = packing.tokenise(docs, public_tokenizers.path("word_bpe_49k.json"), cached_words=cached_words)
     pieces = packing.cut(tokens, 2048).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return packing.pack(pieces, 2048).drop("gap")
 

@@ -262,5 +262,6 @@ def test_idle_workers_hold_little(monkeypatch):
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
         source = f.read()
     assert len(repr(packing.steps_of(source))) < len(source) // 100
+    assert packing.FastTokenizer(source, cached_words=7).parts.limit == 7
     known, text = packing.FastTokenizer(source, packing.steps_of(source)), "Çà et là, 3 mots\x01 d'AVANT don't ~x"
     assert known.encode([text])[0].tolist() == known.whole(text)
